@@ -71,7 +71,25 @@ fixture(
 fixture(
     "page_names",
     """
-    SELECT page_id, split(url, '/')[2] AS host_raw, url FROM {pages}
+    SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host,
+           regexp_extract_all(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '([0-9]+)', 1) AS numbers
+    FROM {pages}
+    """,
+)
+# One corpus copy per root: canonical, flat, and canonical at the wrong level.
+fixture(
+    "layouts",
+    """
+    SELECT root, root || (CASE
+             WHEN root = '/r1' OR doc_id % 7 = 0 THEN '/' || (CASE WHEN family = 'source' THEN 'original' ELSE family END)
+             WHEN family = 'source' THEN '/x/original_sequences/youtube/' || level || '/videos'
+             ELSE '/x/manipulated_sequences/' || family || '/' || level || '/videos' END)
+           || '/' || CAST(doc_id % 1000 AS STRING) || '.mp4' AS path
+    FROM (SELECT doc_id, '/r' || CAST(doc_id % 3 AS STRING) AS root,
+                 CASE WHEN doc_id % 3 = 2 OR doc_id % 2 = 1 THEN 'c40' ELSE 'c23' END AS level,
+                 CASE doc_id % 5 WHEN 0 THEN 'source' WHEN 1 THEN 'Deepfakes' WHEN 2 THEN 'Face2Face'
+                                 WHEN 3 THEN 'FaceSwap' ELSE 'NeuralTextures' END AS family
+          FROM {documents}) AS d
     """,
 )
 # Target and source ids of pairs, from keys of the order lines.
