@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslens.functions.geometry import frame_rate
+from corpuslens.functions.geometry import frame_rate, square_box
 from corpuslens.functions.hashing import hash_int, uniform
 from corpuslens.plans.prefix import bucketed_rank, with_group_stats
 
@@ -88,6 +88,34 @@ def forward_fill(df: DataFrame, clip: str, frame: str, value: str, out: str) ->
     )
 
 
+def tracked_boxes(df: DataFrame, clip: str, frame: str, detected: str, margin: float) -> DataFrame:
+    """``df`` with the crop ``box`` of every frame and whether it is ``usable``.
+
+    Undetected frames reuse the last usable box; a detected box too small to
+    crop does not, and frames with nothing to show get the centre square.
+    """
+    own = df.withColumn("_own", F.when(F.col(detected), square_box("x1", "y1", "x2", "y2", "w", "h", margin)))
+    filled = forward_fill(own, clip, frame, "_own", "_carried")
+    box = F.when(F.col(detected), F.col("_own")).otherwise(F.col("_carried"))
+    side = F.least("w", "h")
+
+    def half(v: Column) -> Column:
+        return F.floor(v / 2).cast("int")
+
+    centre = F.struct(
+        half(F.col("w") - side).alias("l"),
+        half(F.col("h") - side).alias("t"),
+        half(F.col("w") + side).alias("r"),
+        half(F.col("h") + side).alias("b"),
+    )
+    return (
+        filled.withColumn("_box", box)
+        .withColumn("usable", F.col("_box").isNotNull().cast("int"))
+        .withColumn("box", F.coalesce("_box", centre))
+        .drop("_own", "_carried", "_box")
+    )
+
+
 def tiles(df: DataFrame, clip: str, frame: str, width: int, valid: str, value: Column) -> DataFrame:
     """(clip, tile, mean_value): complete tiles with a valid frame.
 

@@ -24,8 +24,9 @@ class Tables:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name in FIXTURES:
-            used = {t: getattr(self, t) for t in [*TABLES, *FIXTURES] if "{" + t + "}" in FIXTURES[name]}
-            return self.spark.sql(FIXTURES[name], **used)
+            text = SPARK_TEXT.get(name, FIXTURES[name])
+            used = {t: getattr(self, t) for t in [*TABLES, *FIXTURES] if "{" + t + "}" in text}
+            return self.spark.sql(text, **used)
         raise AttributeError(name)
 
 
@@ -36,12 +37,15 @@ class Query:
 
 
 FIXTURES: dict[str, str] = {}
+SPARK_TEXT: dict[str, str] = {}  # only where the two dialects differ
 QUERIES: dict[str, Query] = {}
 
 
-def fixture(name: str, sql: str) -> None:
-    """A plain projection written once in SQL that both engines accept."""
+def fixture(name: str, sql: str, spark_sql: str | None = None) -> None:
+    """A plain projection, written once in SQL that both engines accept if possible."""
     FIXTURES[name] = sql
+    if spark_sql:
+        SPARK_TEXT[name] = spark_sql
 
 
 def query(name: str, sql: str | None = None) -> Callable:

@@ -143,3 +143,29 @@ fixture(
     GROUP BY run, epoch
     """,
 )
+# Events with an exact microsecond clock.
+fixture(
+    "event_us",
+    "SELECT event_id, user_id, event_type, value, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS us FROM {events}",
+    """
+    SELECT event_id, user_id, event_type, value,
+           (datediff(CAST(ts AS DATE), DATE '2024-01-01') * 86400L + hour(ts) * 3600 + minute(ts) * 60) * 1000000
+             + CAST(extract(SECOND FROM ts) * 1000000 AS BIGINT) AS us
+    FROM {events}
+    """,
+)
+fixture(
+    "series",
+    """
+    SELECT e.user_id AS clip, e.event_id, e.event_type AS band, e.value, CAST(e.us - f.first_us AS DOUBLE) / 1e6 AS t
+    FROM {event_us} e JOIN (SELECT user_id, min(us) AS first_us FROM {event_us} GROUP BY user_id) f ON f.user_id = e.user_id
+    """,
+)
+fixture(
+    "spans",
+    """
+    SELECT w.clip, w.win, w.win * 21600e0 AS t0, (w.win + 1) * 21600e0 AS t1, 1810e0 AS pad, d.dur
+    FROM (SELECT DISTINCT clip, CAST(floor(t / 21600e0) AS BIGINT) AS win FROM {series}) w
+    JOIN (SELECT clip, max(t) AS dur FROM {series} GROUP BY clip) d ON d.clip = w.clip
+    """,
+)
