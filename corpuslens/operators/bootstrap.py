@@ -84,7 +84,7 @@ def _tie_sums(y: np.ndarray, ident: np.ndarray, starts: np.ndarray, n_boot: int)
 class _AucTotals:
     """Positive weight, negative weight and ordered pair wins of one bucket."""
 
-    def __init__(self, n_boot: int, header: tuple | None):
+    def __init__(self, n_boot: int, header: tuple):
         self.n_boot = n_boot
         self.pos, self.neg, self.wins = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
 
@@ -103,7 +103,7 @@ class _AucTotals:
 class _YoudenBest:
     """Best TPR - FPR and its threshold of one open bucket."""
 
-    def __init__(self, n_boot: int, header: tuple | None):
+    def __init__(self, n_boot: int, header: tuple):
         self.n_boot = n_boot
         self.tp, self.fp, self.pos, self.neg = (np.array(v, dtype=float) for v in header)
         self.best, self.at = np.full(n_boot, -np.inf), np.full(n_boot, np.nan)
@@ -130,50 +130,54 @@ class _YoudenBest:
 def _stream(state_type: type, keys: list[str], out: list[str], headers: list[str], n_boot: int) -> Callable:
     """mapInPandas function folding each sorted key segment into one row."""
     bucket_at = keys.index("bucket")
+    cols = [*keys, "score", "y", "ident", *headers]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[np.ndarray] | None = None
         key, state = None, None
+        done: list[tuple] = []
 
-        def emit():
-            return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, **{o: [list(r)] for o, r in zip(out, state.result())}})
+        def flush() -> pd.DataFrame:
+            frame = pd.DataFrame(done, columns=[*keys, *out])
+            done.clear()
+            return frame
 
         for batch in batches:
+            data = [batch[x].to_numpy() for x in cols]
             if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
+                data = [np.concatenate([h, d]) for h, d in zip(held, data)]
                 held = None
-            if batch.empty:
+            size = len(data[0])
+            if size == 0:
                 continue
-            change = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
-            cuts = np.r_[np.flatnonzero(change), len(batch)]
-            done = []
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                seg = batch.iloc[s:e]
-                this = tuple(seg[keys].iloc[0])
+            change = np.ones(size, dtype=bool)
+            change[1:] = False
+            for k in data[: len(keys)]:
+                change[1:] |= k[1:] != k[:-1]
+            cuts = np.append(np.flatnonzero(change), size)
+            score, y, ident = data[len(keys) : len(keys) + 3]
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                this = tuple(k[s] for k in data[: len(keys)])
                 if this != key:
                     if state is not None:
-                        done.append(emit())
-                    key, state = this, None
-                if state is None:
-                    header = None
-                    if headers:
-                        header = tuple(seg[h].iloc[0] for h in headers)
-                        seg = seg.iloc[1:]
-                    state = state_type(n_boot, header)
-                score = seg["score"].to_numpy(dtype=float)
-                if e == len(batch) and len(seg) and this[bucket_at] % 2 == 0:
+                        done.append((*key, *state.result()))
+                    key = this
+                    state = state_type(n_boot, tuple(h[s] for h in data[len(keys) + 3 :]))
+                    s += bool(headers)
+                if e == size and s < e and this[bucket_at] % 2 == 0:
                     # The last tie group may continue in the next batch.  (In a
                     # cut-value bucket everything ties and only sums matter.)
-                    cut = int(np.searchsorted(score, score[-1], side="left"))
-                    held, seg, score = seg.iloc[cut:].copy(), seg.iloc[:cut], score[:cut]
-                if len(seg):
-                    state.add(score, seg["y"].to_numpy(), seg["ident"].to_numpy(dtype=np.int64))
+                    cut = s + int(np.searchsorted(score[s:e], score[e - 1], side="left"))
+                    held, e = [d[cut:e] for d in data], cut
+                if s < e:
+                    state.add(score[s:e], y[s:e], ident[s:e])
             if done:
-                yield pd.concat(done, ignore_index=True)
-        if held is not None and len(held):
-            state.add(held["score"].to_numpy(dtype=float), held["y"].to_numpy(), held["ident"].to_numpy(dtype=np.int64))
+                yield flush()
+        if held is not None:
+            state.add(*held[len(keys) : len(keys) + 3])
         if state is not None:
-            yield emit()
+            done.append((*key, *state.result()))
+            yield flush()
 
     return run
 

@@ -12,6 +12,7 @@ from corpuslens.functions.numeric import is_finite
 from corpuslens.operators.bootstrap import bootstrap_ci
 from corpuslens.operators.intervals import interval_overlaps
 from corpuslens.operators.metrics import auc
+from corpuslens.session import cut_lineage
 
 
 def experiment_grid(arms: DataFrame, first_seed: int, n_seeds: int) -> DataFrame:
@@ -120,16 +121,17 @@ def dataset_report(
 
 
 def leaderboard(report: DataFrame, by: str = "dataset") -> DataFrame:
-    """``report`` plus its mean row (NULL results skipped)."""
-    mean = report.agg(
-        F.lit("mean").alias(by),
+    """``report`` plus its mean row (NULL results skipped), in one pass."""
+    total = F.grouping(by) == 1
+    rows = report.groupingSets([[F.col(by)], []], F.col(by)).agg(
+        total.alias("_total"),
         F.sum("n").alias("n"),
         F.avg("auc").alias("auc"),
-        F.lit(None).cast("double").alias("lo"),
-        F.lit(None).cast("double").alias("hi"),
+        F.when(~total, F.max("lo")).alias("lo"),
+        F.when(~total, F.max("hi")).alias("hi"),
         F.avg("acc").alias("acc"),
     )
-    return report.unionByName(mean)
+    return rows.withColumn(by, F.when(F.col("_total"), F.lit("mean")).otherwise(F.col(by))).drop("_total")
 
 
 def flag_cut_short(arms: DataFrame, reason: str = "stop_reason") -> DataFrame:
@@ -143,6 +145,7 @@ def ci_overlap(df: DataFrame, key: str, lo: str, hi: str, baseline: str) -> Data
     The baseline's bounds are two scalars and the counts come from running
     totals, so no table of pairs is built.
     """
+    df = cut_lineage(df)  # read several times below, and costly to bootstrap again
     base = df.filter(F.col(key) == baseline)
     b_lo, b_hi = base.agg(F.min(lo)).scalar(), base.agg(F.max(hi)).scalar()
     counted = interval_overlaps(df, key, lo, hi)

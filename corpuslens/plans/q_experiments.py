@@ -60,12 +60,12 @@ def seed_summary(t):
 
 @query(
     "selection_metric",
-    """SELECT run, epoch, round(CASE run % 3 WHEN 0 THEN metric WHEN 1 THEN elapsed_s ELSE 0.5 * (metric + elapsed_s) END, 6) AS metric FROM train_log""",
+    """SELECT run, epoch, round(CASE run % 3 WHEN 0 THEN metric WHEN 1 THEN elapsed_s ELSE 0.5 * (metric + elapsed_s) END, 9) AS metric FROM train_log""",
 )
 def selection_metric(t):
     mode = F.when(F.col("run") % 3 == 0, "video_only").when(F.col("run") % 3 == 1, "audio_only").otherwise("both")
     m = E.selection_metric(mode, F.col("metric"), F.col("elapsed_s"))
-    return t.train_log.select("run", "epoch", rounded(m).alias("metric"))
+    return t.train_log.select("run", "epoch", rounded(m, 9).alias("metric"))
 
 
 GATES = [("d0", 0.5, 0.45), ("d1", 0.85, 0.64), ("d2", 0.45, 0.58), ("d3", 0.51, 0.5), ("d9", 0.7, 0.5)]

@@ -157,12 +157,12 @@ def lead_skip(t):
     """WITH i AS (SELECT clip, value, row_number() OVER (PARTITION BY clip ORDER BY t) - 1 AS idx, count(*) OVER (PARTITION BY clip) AS n FROM series),
        g AS (SELECT DISTINCT clip, n, j FROM i, range(16) r(j)),
        x AS (SELECT *, least(greatest((j + 0.5::DOUBLE) * n / 16.0::DOUBLE - 0.5::DOUBLE, 0), n - 1) AS x FROM g)
-       SELECT x.clip, x.j::INT AS j, round((1 - (x - floor(x))) * a.value + (x - floor(x)) * b.value, 6) AS value FROM x
+       SELECT x.clip, x.j::INT AS j, round((1 - (x - floor(x))) * a.value + (x - floor(x)) * b.value, 9) AS value FROM x
        JOIN i a ON a.clip = x.clip AND a.idx = floor(x) JOIN i b ON b.clip = x.clip AND b.idx = least(floor(x) + 1, x.n - 1)""",
 )
 def resample_linear(t):
     idx = Q.indexed(t.series.select("clip", "t", "value"), "clip", "t", F.floor(F.col("t") / 86400))
-    return Q.resample_linear(idx, "clip", "idx", "value", 16).select("clip", "j", rounded("value").alias("value"))
+    return Q.resample_linear(idx, "clip", "idx", "value", 16).select("clip", "j", rounded("value", 9).alias("value"))
 
 
 @query(
