@@ -50,8 +50,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(token, component) for undirected (a, b) edges; label = smallest token.
 
     Alternates large-star and small-star until the edge set stops changing,
-    which takes about log(n) rounds; each round is written to the reliable
-    checkpoint folder, so lineage stays one round deep.
+    which takes about log(n) rounds; each round is written to the shared
+    folder, so lineage stays one round deep and survives lost executors.
     """
     base = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     cur = base.filter("u != v")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "corpuslens") -> SparkSession:
@@ -32,15 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder, because there the
     driver and the executors are the same machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext.getCheckpointDir()
-    if root is None and current is None:
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.sparkContext.getCheckpointDir()
+    )
+    if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="corpuslens-")
-    if current is None:
         spark.sparkContext.setCheckpointDir(root)
-    return root or current
+    return root
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -48,7 +50,12 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Write ``df`` to the reliable checkpoint folder and continue from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` once to the shared folder and continue from the stored table.
+
+    The files survive lost executors, and their known size lets Spark choose
+    broadcast joins for small results.
+    """
+    path = workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
