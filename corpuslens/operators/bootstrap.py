@@ -52,15 +52,24 @@ def with_poisson_weight(df: DataFrame, ident: str, replicate: str, out: str = "w
 
 
 def _weights(ident: np.ndarray, n_boot: int) -> np.ndarray:
-    """(rows, n_boot) weights; the same arithmetic as :func:`with_poisson_weight`."""
-    lo, hi = (ident & MIX_MASK)[:, None], ((ident >> 31) & MIX_MASK)[:, None]
-    h = lo ^ ((np.arange(1, n_boot + 1, dtype=np.int64) * MIX_STEP) & MIX_MASK)[None, :]
-    h = ((h ^ (h >> 15)) * MIX_A) & MIX_MASK
-    h = ((h ^ hi ^ (h >> 13)) * MIX_B) & MIX_MASK
-    u = (h ^ (h >> 16)).astype(np.int32)
-    w = np.zeros(u.shape, dtype=np.int8)
+    """(rows, n_boot) weights; the same draws as :func:`with_poisson_weight`.
+
+    Unsigned 32-bit products wrap, which leaves their low 31 bits intact.
+    """
+    mask = np.uint32(MIX_MASK)
+    lo = (ident & MIX_MASK).astype(np.uint32)[:, None]
+    hi = ((ident >> 31) & MIX_MASK).astype(np.uint32)[:, None]
+    h = lo ^ ((np.arange(1, n_boot + 1, dtype=np.int64) * MIX_STEP) & MIX_MASK).astype(np.uint32)[None, :]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(MIX_A)
+    h &= mask
+    h ^= hi ^ (h >> np.uint32(13))
+    h *= np.uint32(MIX_B)
+    h &= mask
+    h ^= h >> np.uint32(16)
+    w = np.zeros(h.shape, dtype=np.int8)
     for cut in POISSON_CDF:
-        w += u >= np.int32(cut)
+        w += h >= np.uint32(cut)
     return w
 
 
@@ -76,9 +85,17 @@ def _tie_blocks(score: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def _tie_sums(y: np.ndarray, ident: np.ndarray, starts: np.ndarray, n_boot: int) -> tuple[np.ndarray, np.ndarray]:
-    w = _weights(ident, n_boot)
-    pos = np.add.reduceat(w * (y == 1).astype(np.int8)[:, None], starts, axis=0, dtype=np.float64)
-    return pos, np.add.reduceat(w, starts, axis=0, dtype=np.float64) - pos
+    """Positive and negative weight per tie group; sums are small and exact."""
+    w = _weights(ident, n_boot).astype(np.float32)
+    sign = np.stack([y == 1, y == 0]).astype(np.float32)
+    if len(starts) == 1:
+        p, n = sign @ w
+        return p[None, :].astype(float), n[None, :].astype(float)
+    p, n = w * sign[0][:, None], w * sign[1][:, None]
+    if len(starts) < len(y):
+        ends = np.append(starts[1:], len(y)) - 1
+        p, n = (np.diff(np.cumsum(v, axis=0)[ends], axis=0, prepend=0) for v in (p, n))
+    return p.astype(float), n.astype(float)
 
 
 class _AucTotals:
@@ -197,6 +214,12 @@ def _bucketed(df: DataFrame, y: str, score: str, ident: str, by: Sequence[str])
     return cut.select(*by, "score", "y", "ident", bucket.cast("int").alias("bucket"), salt.cast("int").alias("salt"))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Explicit, because adaptive execution would merge partitions by their
+    bytes, and the work per byte is n_boot draws."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _schema(df: DataFrame, cols: Sequence[str], arrays: Sequence[str]) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema] + [f"{a} array<double>" for a in arrays])
 
@@ -204,7 +227,7 @@ def _schema(df: DataFrame, cols: Sequence[str], arrays: Sequence[str]) -> str:
 def _bucket_totals(rows: DataFrame, by: Sequence[str], n_boot: int) -> DataFrame:
     """(by, replicate, bucket, pos, neg, wins)."""
     keys = [*by, "bucket", "salt"]
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "score")
+    placed = rows.repartition(_tasks(rows), *keys).sortWithinPartitions(*keys, "score")
     out = ["pos", "neg", "wins"]
     sums = placed.mapInPandas(_stream(_AucTotals, keys, out, [], n_boot), _schema(rows, keys, out))
     long = sums.select(*by, "bucket", F.posexplode(F.arrays_zip(*out)).alias("replicate", "v"))
@@ -270,7 +293,7 @@ def bootstrap_youden(
     keys = [*by, "bucket"]
     placed = (
         head.unionByName(body, allowMissingColumns=True)
-        .repartition(*keys)
+        .repartition(_tasks(rows), *keys)
         .sortWithinPartitions(*keys, "kind", "score")
     )
     out = ["best", "threshold"]

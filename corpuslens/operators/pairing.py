@@ -31,9 +31,11 @@ def pair_by_rank(
 ) -> DataFrame:
     """(group, k, real_key, fake_key): k-th real with k-th fake of a group."""
     ranked = seeded_rank(df.select(key, group, label), [key], "zip", seed, by=[group, label], rank="k")
-    real = ranked.filter(F.col(label) == 0).select(group, "k", F.col(key).alias("real_key"))
-    fake = ranked.filter(F.col(label) == 1).select(group, "k", F.col(key).alias("fake_key"))
-    return real.join(fake, [group, "k"], "full")
+    # (group, k, label) is unique, so both sides meet in one small group.
+    return ranked.groupBy(group, "k").agg(
+        F.max(F.when(F.col(label) == 0, F.col(key))).alias("real_key"),
+        F.max(F.when(F.col(label) == 1, F.col(key))).alias("fake_key"),
+    )
 
 
 def batch_plan(pairs: DataFrame, batch_size: int, seed: int = 42, epoch: int = 0, drop_last: bool = True) -> DataFrame:
@@ -51,27 +53,21 @@ def batch_plan(pairs: DataFrame, batch_size: int, seed: int = 42, epoch: int = 0
         (F.col("real_key").isNotNull() & F.col("fake_key").isNotNull()).cast("int").alias("_pair"),
     )
     order = ["real_key", "fake_key"]
-    tagged = tagged.na.fill("", order)
+    # Positions need the pair count first, so the pairs are stored once.
+    tagged = cut_lineage(tagged.na.fill("", order), "pairs")
+    n_pairs, total = tagged.agg(F.coalesce(F.sum("_pair"), F.lit(0)), F.coalesce(F.sum(F.col("_pair") + 1), F.lit(0))).first()
+    full = total // batch_size
     shuffled = seeded_rank(tagged, order, f"epoch{epoch}", seed, by=["_pair"], rank="_r")
-    n_pairs = tagged.agg(F.coalesce(F.sum("_pair"), F.lit(0))).scalar()
     both = F.array(
         F.struct(F.col("real_key").alias("key"), (2 * (F.col("_r") - 1)).alias("pos")),
         F.struct(F.col("fake_key").alias("key"), (2 * (F.col("_r") - 1) + 1).alias("pos")),
     )
-    one = F.array(
-        F.struct(
-            F.greatest("real_key", "fake_key").alias("key"),
-            (2 * F.col("_np") + F.col("_r") - 1).alias("pos"),
-        )
-    )
-    flat = shuffled.withColumn("_np", n_pairs).select(F.inline(F.when(F.col("_pair") == 1, both).otherwise(one)))
-    total = tagged.agg(F.coalesce(F.sum(F.col("_pair") + 1), F.lit(0))).scalar()
-    flat = flat.withColumn("_n", total).withColumn("_raw", F.floor(F.col("pos") / batch_size))
-    full = F.floor(F.col("_n") / batch_size)
-    flat = flat.withColumn("_full", F.col("_raw") < full).withColumn("slot", (F.col("pos") % batch_size).cast("int"))
+    one = F.array(F.struct(F.greatest("real_key", "fake_key").alias("key"), (2 * n_pairs + F.col("_r") - 1).alias("pos")))
+    flat = shuffled.select(F.inline(F.when(F.col("_pair") == 1, both).otherwise(one)))
+    flat = flat.select("key", F.floor(F.col("pos") / batch_size).alias("_raw"), (F.col("pos") % batch_size).cast("int").alias("slot"))
     if drop_last:
-        flat = flat.filter("_full")
-    ids = flat.filter("_full").select("_raw").distinct()
+        flat = flat.filter(F.col("_raw") < full)
+    ids = pairs.sparkSession.range(full).withColumnRenamed("id", "_raw")
     moved = seeded_rank(ids, ["_raw"], f"batches{epoch}", seed, rank="_to").select("_raw", (F.col("_to") - 1).alias("_to"))
     # A batch id covers batch_size rows, so this join has no hot key.
     return flat.join(moved, "_raw", "left").select(

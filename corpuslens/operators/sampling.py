@@ -67,7 +67,7 @@ def middle_of_group(df: DataFrame, by: Sequence[str], order: str, bucket: Column
     ``bucket`` is a monotone coarsening of ``order`` such as ``order / 4096``.
     """
     target = F.floor(F.col("n_total") / 2) + 1
-    ranked = bucketed_rank(df, bucket, [F.col(order)], by, rank="_r", total="_n", keep_below=target)
+    ranked = bucketed_rank(df, lambda _: bucket, [F.col(order)], by, rank="_r", total="_n", keep_below=target)
     return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).drop("_r", "_n")
 
 

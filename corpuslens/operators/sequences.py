@@ -162,7 +162,7 @@ def lead_skip(
 
 def indexed(df: DataFrame, clip: str, t: str, bucket: Column, index: str = "idx") -> DataFrame:
     """0-based position of every sample along its clip."""
-    ranked = bucketed_rank(df, bucket, [F.col(t)], [clip], rank=index)
+    ranked = bucketed_rank(df, lambda _: bucket, [F.col(t)], [clip], rank=index)
     return ranked.withColumn(index, F.col(index) - 1)
 
 

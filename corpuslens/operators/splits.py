@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.hashing import hash_bucket, tag_hash
-from corpuslens.plans.prefix import bucket_starts, bucketed_rank, seeded_rank
+from corpuslens.plans.prefix import bucket_starts, hash_rank, seeded_rank
 
 NAMES = ("train", "val", "test")
 
@@ -174,9 +174,7 @@ def split_summary(df: DataFrame, group: str = "identity_group") -> DataFrame:
 def split_manifest(df: DataFrame, key: str) -> DataFrame:
     """(split, position, key): membership in key-hash order, one row per clip."""
     h = F.md5(F.col(key).cast("string"))
-    ranked = bucketed_rank(
-        df.withColumn("_h", h), hash_bucket(F.col("_h")), [F.col("_h"), F.col(key)], by=["split"], rank="position"
-    )
+    ranked = hash_rank(df.withColumn("_h", h), "_h", [key], by=["split"], rank="position")
     return ranked.select("split", "position", F.col(key).alias("key"))
 
 

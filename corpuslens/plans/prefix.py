@@ -11,13 +11,13 @@ the groups are skewed.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslens.functions.hashing import hash_bucket, tag_hash
+from corpuslens.functions.hashing import hash_uint, tag_hash
 
 _MIN_SIDE, _MAX_SIDE = 6, 64  # 36 .. 4096 buckets
 
@@ -94,36 +94,72 @@ def running_totals(table: DataFrame, order: str, sums: Sequence[str], by: Sequen
     return joined.drop("_bucket", *[f"_{s}_start" for s in sums])
 
 
+def pieces_wanted(spark: SparkSession) -> int:
+    """Into how many pieces a whole table is cut; a group gets its share."""
+    return max(32, min(10_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def big_groups(df: DataFrame, by: Sequence[str], pieces: int) -> DataFrame:
+    """(by, n_total, _pieces) of groups above 1 / pieces of the rows.
+
+    There can be fewer than ``pieces`` such groups, so the result may be
+    broadcast whatever the table's size.
+    """
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"))
+    total = sizes.agg(F.sum("n_total")).scalar()
+    big = sizes.withColumn("_all", total).filter(F.col("n_total") * pieces > F.col("_all"))
+    return big.select(*by, "n_total", F.ceil(F.col("n_total") * pieces / F.col("_all")).alias("_pieces"))
+
+
 def bucketed_rank(
     df: DataFrame,
-    bucket: Column,
+    bucket: Callable[[Column], Column],
     order: Sequence[Column],
     by: Sequence[str] = (),
     rank: str = "rank",
     total: str | None = None,
     keep_below: Column | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Exact 1-based rank per group; ``bucket`` must be monotone in ``order``.
+    """Exact 1-based rank per group.
+
+    Only groups above 1 / pieces of the rows are cut up: ``bucket(pieces)``
+    must be monotone in ``order`` (``bounded`` says it yields at most that many
+    values).  Their buckets are counted first and start where the earlier ones
+    end; every other group is one piece already.  All rows then shuffle once,
+    by (group, bucket), and rank inside it.
 
     ``keep_below`` (an expression over ``n_total``, the group size, and ``by``)
     keeps ranks up to that number; buckets wholly above it are dropped before
-    the rank window, so a small cap shuffles few rows.
+    the shuffle.
     """
-    by = list(by)
-    tagged = df.withColumn("_bucket", bucket)
-    starts = bucket_starts(tagged, by, "_bucket", {"n": F.count(F.lit(1))})
-    how = "left"
+    by, pieces = list(by), pieces_wanted(df.sparkSession)
+    if by:
+        tagged = df.join(F.broadcast(big_groups(df, by, pieces).drop("n_total")), by, "left")
+        tagged = tagged.withColumn(
+            "_bucket", F.when(F.col("_pieces").isNull(), F.lit(-1)).otherwise(bucket(F.col("_pieces"))).cast("bigint")
+        )
+        cut = tagged.filter("_pieces is not null")
+    else:
+        tagged = cut = df.withColumn("_bucket", bucket(F.lit(pieces)).cast("bigint"))
+    starts = bucket_starts(cut, by, "_bucket", {"n": F.count(F.lit(1))})
+    if keep_below is not None:
+        starts = starts.withColumn("_drop", F.col("_n_start") >= keep_below.cast("bigint"))
+    # Hash buckets: at most two per piece over all big groups together.
+    joined = tagged.join(F.broadcast(starts) if bounded else starts, [*by, "_bucket"], "left")
     if keep_below is not None:
-        starts = starts.withColumn("_limit", keep_below.cast("bigint")).filter("_n_start < _limit")
-        how = "inner"
-    joined = tagged.join(starts if by else F.broadcast(starts), [*by, "_bucket"], how)
-    inside = W.partitionBy(*by, "_bucket").orderBy(*order)
-    out = joined.withColumn(rank, (F.col("_n_start") + F.row_number().over(inside)).cast("bigint"))
+        joined = joined.filter(~F.coalesce("_drop", F.lit(False))).drop("_drop")
+    inside = W.partitionBy(*by, "_bucket")
+    out = joined.withColumn(
+        rank, (F.coalesce("_n_start", F.lit(0)) + F.row_number().over(inside.orderBy(*order))).cast("bigint")
+    )
+    if keep_below is not None or total:
+        out = out.withColumn("n_total", F.coalesce("n_total", F.count(F.lit(1)).over(inside)))
     if keep_below is not None:
-        out = out.filter(F.col(rank) <= F.col("_limit")).drop("_limit")
+        out = out.filter(F.col(rank) <= keep_below.cast("bigint"))
     if total:
         out = out.withColumn(total, F.col("n_total"))
-    return out.drop("_bucket", "_n_start", "n_total")
+    return out.drop("_bucket", "_pieces", "_n_start", "n_total")
 
 
 def seeded_rank(
@@ -137,11 +173,19 @@ def seeded_rank(
     keep_below: Column | None = None,
 ) -> DataFrame:
     """Rank rows in seeded-shuffle order (md5 of tag, seed and key)."""
-    h = tag_hash(tag, seed, *key)
-    tagged = df.withColumn("_h", h)
-    return bucketed_rank(
-        tagged, hash_bucket(F.col("_h")), [F.col("_h"), *[F.col(k) for k in key]], by, rank, total, keep_below
-    ).drop("_h")
+    return hash_rank(df.withColumn("_h", tag_hash(tag, seed, *key)), "_h", key, by, rank, total, keep_below).drop("_h")
+
+
+def hash_rank(
+    df: DataFrame, h: str, key: Sequence[str], by: Sequence[str] = (), rank: str = "rank", total: str | None = None,
+    keep_below: Column | None = None,
+) -> DataFrame:
+    """Rank rows by an md5 text column, ``key`` breaking ties."""
+
+    def bucket(n: Column) -> Column:
+        return F.floor(hash_uint(F.col(h)) / F.lit(4294967296.0) * n)
+
+    return bucketed_rank(df, bucket, [F.col(h), *[F.col(k) for k in key]], by, rank, total, keep_below, bounded=True)
 
 
 def with_group_stats(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
