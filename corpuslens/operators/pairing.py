@@ -83,24 +83,16 @@ def negative_partners(
     A partner from another group that has audio is used; otherwise the row's
     own time-shifted window is, and ``source`` says which.
     """
-    placed = seeded_rank(df.select(key, group, has_audio), [key], "negatives", seed, rank="_r", total="_n")
-    placed = placed.withColumn("_batch", F.floor((F.col("_r") - 1) / batch_size)).withColumn(
-        "_slot", F.pmod(F.col("_r") - 1, F.lit(batch_size))
-    )
-    size = F.least(F.lit(batch_size).cast("bigint"), F.col("_n") - F.col("_batch") * batch_size)
-    asking = placed.withColumn("_want", F.pmod(F.col("_slot") + 1, size))
-    offered = placed.select(
-        "_batch",
-        F.col("_slot").alias("_want"),
-        F.col(key).alias("partner_key"),
-        F.col(group).alias("_pg"),
-        F.col(has_audio).alias("_pa"),
-    )
-    both = asking.join(offered, ["_batch", "_want"])
-    ok = (F.col("_pg") != F.col(group)) & (F.col("_pa") == 1)
+    placed = seeded_rank(df.select(key, group, has_audio), [key], "negatives", seed, rank="_r")
+    placed = placed.withColumn("_batch", F.floor((F.col("_r") - 1) / batch_size))
+    # A batch holds at most batch_size rows, so neither window can run hot.
+    batch = W.partitionBy("_batch").orderBy("_r")
+    partner = F.struct(F.col(key).alias("k"), F.col(group).alias("g"), F.col(has_audio).alias("a"))
+    both = placed.withColumn("_p", F.coalesce(F.lead(partner).over(batch), F.first(partner).over(batch)))
+    ok = (F.col("_p.g") != F.col(group)) & (F.col("_p.a") == 1)
     return both.select(
         key,
-        F.when(ok, F.col("partner_key")).otherwise(F.col(key)).alias("negative_key"),
+        F.when(ok, F.col("_p.k")).otherwise(F.col(key)).alias("negative_key"),
         F.when(ok, "cross_identity").otherwise("same_clip_shift").alias("source"),
     )
 
