@@ -27,6 +27,7 @@ from corpuslens.functions.numeric import ratio
 from corpuslens.operators.metrics import auc_from_scores
 from corpuslens.plans.prefix import bucket_side, cut_bucket, cut_points
 
+MIN_ROWS = 2000  # rows per score bucket before a table is cut further
 BLOCK = 1024  # rows whose weights are held at once
 POISSON_CDF = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * (MIX_MASK + 1)) for k in range(10)]
 
@@ -202,7 +203,7 @@ def _stream(state_type: type, keys: list[str], out: list[str], headers: list[str
 def _bucketed(df: DataFrame, y: str, score: str, ident: str, by: Sequence[str]) -> DataFrame:
     side = bucket_side(df.sparkSession)
     rows = df.select(*by, F.col(score).cast("double").alias("score"), F.col(y).cast("int").alias("y"), F.col(ident).alias("ident"))
-    cut = rows.withColumn("_cuts", cut_points(rows, "score", side))
+    cut = rows.withColumn("_cuts", cut_points(rows, "score", side, MIN_ROWS))
     below = cut_bucket(F.col("score"), F.col("_cuts"), side)
     upto = cut_bucket(F.col("score"), F.col("_cuts"), side, inclusive=True)
     # 2k: strictly between cuts k and k + 1; 2k + 1: equal to cut k + 1.  A cut

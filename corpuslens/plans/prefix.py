@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.hashing import hash_uint, tag_hash
 
 _MIN_SIDE, _MAX_SIDE = 6, 64  # 36 .. 4096 buckets
+_MIN_ROWS = 20_000  # a smaller bucket is not worth its overhead
 
 
 def bucket_side(spark: SparkSession) -> int:
@@ -28,17 +29,20 @@ def bucket_side(spark: SparkSession) -> int:
     return max(_MIN_SIDE, min(_MAX_SIDE, math.isqrt(want - 1) + 1))
 
 
-def cut_points(df: DataFrame, order: str, side: int | None = None) -> Column:
-    """Approximate quantile cuts as a scalar subquery (side**2 - 1 values).
+def cut_points(df: DataFrame, order: str, side: int, min_rows: int) -> Column:
+    """Approximate quantile cuts as a scalar subquery (at most side**2 - 1 values).
 
-    Returned as struct(fine, coarse) so a lookup costs 2 * side comparisons.
+    A table too small to fill that many buckets with ``min_rows`` rows gets
+    every m-th cut only.  Returned as struct(fine, coarse) so a lookup costs
+    2 * side comparisons.
     """
-    side = side or bucket_side(df.sparkSession)
     n = side * side
     q = F.percentile_approx(order, F.array(*[F.lit(i / n) for i in range(1, n)]), 20 * n)
-    return df.agg(q.alias("fine")).select(
-        F.struct("fine", F.filter("fine", lambda v, i: i % side == side - 1).alias("coarse")).alias("cuts")
-    ).scalar()
+    step = F.greatest(F.lit(1), F.ceil(F.lit(n * min_rows) / F.greatest(F.count(order), F.lit(1))))
+    cuts = df.agg(q.alias("all"), step.cast("int").alias("step"))
+    kept = F.filter("all", lambda v, i: F.pmod(i + 1, F.col("step")) == 0)
+    coarse = F.filter("fine", lambda v, i: i % side == side - 1)
+    return cuts.select(kept.alias("fine")).select(F.struct("fine", coarse.alias("coarse")).alias("cuts")).scalar()
 
 
 def cut_bucket(x: Column, cuts: Column, side: int, inclusive: bool = False) -> Column:
@@ -75,14 +79,16 @@ def _attach(df: DataFrame, starts: DataFrame, by: Sequence[str], bucket: str) ->
     return df.join(side, [*by, bucket], "left")
 
 
-def running_totals(table: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def running_totals(
+    table: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), min_rows: int = _MIN_ROWS
+) -> DataFrame:
     """Add ``<c>_before`` (strictly lower ``order``) and ``<c>_total`` per group.
 
     ``table`` must hold one row per (by, order); aggregate ties first.
     """
     by = list(by)
     side = bucket_side(table.sparkSession)
-    cut = table.withColumn("_cuts", cut_points(table, order, side))
+    cut = table.withColumn("_cuts", cut_points(table, order, side, min_rows))
     cut = cut.withColumn("_bucket", cut_bucket(F.col(order), F.col("_cuts"), side)).drop("_cuts")
     starts = bucket_starts(cut, by, "_bucket", {s: F.sum(s) for s in sums})
     joined = _attach(cut, starts, by, "_bucket")

@@ -20,7 +20,7 @@ def test_running_totals_match_pandas(skewed):
     pdf, df = skewed
     want = pdf.sort_values("x").copy()
     want["before"] = want.groupby("grp").w.cumsum() - want.w
-    got = prefix.running_totals(df.select("grp", "x", "w"), "x", ["w"], ["grp"]).toPandas()
+    got = prefix.running_totals(df.select("grp", "x", "w"), "x", ["w"], ["grp"], min_rows=40).toPandas()
     both = got.merge(want, on=["grp", "x"], suffixes=("", "_p"))
     assert len(both) == len(pdf)
     assert (both.w_before == both.before).all()
@@ -29,7 +29,7 @@ def test_running_totals_match_pandas(skewed):
 
 def test_global_running_totals(skewed):
     pdf, df = skewed
-    got = prefix.running_totals(df.select("x", "w"), "x", ["w"]).toPandas().sort_values("x")
+    got = prefix.running_totals(df.select("x", "w"), "x", ["w"], min_rows=40).toPandas().sort_values("x")
     assert (got.w_before == got.w.cumsum() - got.w).all()
 
 
