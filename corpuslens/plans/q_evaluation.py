@@ -440,3 +440,63 @@ def bootstrap_metric(t):
 def bootstrap_threshold(t):
     out = B.stable_threshold(t.scored.withColumn("_id", boot_id()), "_id", BOOT_THR, by=["dataset"])
     return out.select("dataset", rounded("threshold").alias("threshold"))
+
+
+# ---- calibrate on val, report on test ------------------------------------------
+
+HEADED = """SELECT id, split, y, CASE id % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'audio' ELSE 'fusion' END AS head,
+                   logit + CASE WHEN id % 3 = 0 THEN 2.0::DOUBLE * y ELSE 0.0::DOUBLE END AS logit FROM split_scored"""
+CAL_BOOT, REPORT_BOOT = 100, 200
+CAL_SQL = f"""
+    t AS (SELECT head, CASE WHEN t > 0.05 AND t < 20 THEN t ELSE 1.0 END AS temp FROM ({temperature_sql("SELECT * FROM hv", C.STEPS)})),
+    pv AS (SELECT hv.id, hv.head, hv.y, 1.0 / (1.0 + exp(-(hv.logit / t.temp))) AS score FROM hv JOIN t USING (head)),
+    cw AS (SELECT head, replicate, score, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg
+           FROM ({weights_sql('pv', CAL_BOOT)}) GROUP BY 1, 2, 3 HAVING sum(w) > 0),
+    jw AS (SELECT head, replicate, score, sum(pos) OVER (PARTITION BY head, replicate ORDER BY score DESC) / sum(pos) OVER (PARTITION BY head, replicate)
+             - sum(neg) OVER (PARTITION BY head, replicate ORDER BY score DESC) / sum(neg) OVER (PARTITION BY head, replicate) AS j FROM cw),
+    thr AS (SELECT head, quantile_cont(thr, 0.5) AS threshold FROM (SELECT head, replicate, arg_max(score, (j, score)) AS thr FROM jw GROUP BY 1, 2) GROUP BY 1),
+    va AS (SELECT head, {AUC_EXPR} AS val_auc FROM ({auc_ranks('hv', 'head', 'logit')}))"""
+WITH_CAL = f"WITH h AS ({HEADED}), hv AS (SELECT * FROM h WHERE split = 'val'), {CAL_SQL}"
+
+
+def _headed(t):
+    head = F.when(F.col("id") % 3 == 0, "video").when(F.col("id") % 3 == 1, "audio").otherwise("fusion")
+    z = F.col("logit") + F.when(F.col("id") % 3 == 0, 2.0 * F.col("y")).otherwise(0.0)
+    return t.split_scored.select("id", "split", "y", head.alias("head"), z.alias("logit"), boot_id().alias("_id"))
+
+
+def _calibration(t):
+    from corpuslens.operators.evaluation import calibrate
+
+    return calibrate(_headed(t).filter("split = 'val'"), "_id", n_boot=CAL_BOOT)
+
+
+@query(
+    "calibration_fit",
+    f"{WITH_CAL} SELECT head, round(temp, 6) AS temperature, round(threshold, 6) AS threshold, round(val_auc, 6) AS val_auc FROM t JOIN thr USING (head) JOIN va USING (head)",
+)
+def calibration_fit(t):
+    return _calibration(t).select("head", *[rounded(c).alias(c) for c in ("temperature", "threshold", "val_auc")])
+
+
+@query(
+    "test_report",
+    f"""{WITH_CAL},
+    s AS (SELECT h.id, h.head, h.y, 1.0 / (1.0 + exp(-(h.logit / t.temp))) AS score, thr.threshold FROM h JOIN t USING (head) JOIN thr USING (head) WHERE h.split = 'test'),
+    b AS (SELECT head, count(*) AS n, avg(((score >= threshold)::INT = y)::INT) AS acc FROM s GROUP BY head),
+    a AS (SELECT head, {AUC_EXPR} AS auc FROM ({auc_ranks('s', 'head')})),
+    c AS ({ci_sql('s', REPORT_BOOT, 'head')}),
+    e AS (SELECT head, sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM (
+            SELECT head, {_bin_sql(15)} AS bin, count(*) AS n, avg(conf) AS confidence, avg(ok) AS accuracy
+            FROM (SELECT head, greatest(score, 1.0::DOUBLE - score) AS conf, ((score >= 0.5)::INT = y)::INT::DOUBLE AS ok FROM s) GROUP BY 1, 2) GROUP BY head)
+    SELECT head, b.n::BIGINT AS n, round(auc, 6) AS auc, round(lo, 6) AS lo, round(hi, 6) AS hi, round(ece, 6) AS ece, round(acc, 6) AS acc,
+           (val_auc >= 0.7)::INT AS reportable
+    FROM b JOIN a USING (head) JOIN c USING (head) JOIN e USING (head) JOIN va USING (head)""",
+)
+def held_out_report(t):
+    from corpuslens.operators.evaluation import report
+    from corpuslens.session import cut_lineage
+
+    cal = cut_lineage(_calibration(t), "calibration")  # one row per head
+    out = report(_headed(t).filter("split = 'test'"), cal, "_id", n_boot=REPORT_BOOT)
+    return out.select("head", "n", *[rounded(c).alias(c) for c in ("auc", "lo", "hi", "ece", "acc")], "reportable")

@@ -147,6 +147,40 @@ def identity_groups_pages(t):
     return ID.identity_groups(clips).select("page_id", "identity_group")
 
 
+PAIR_GROUPS = components_sql(
+    f"""SELECT doc_id, list_sort(list_distinct(list_filter(['ff::' || coalesce({RUNS}[1], {STEM}), 'ff::' || {RUNS}[2]], lambda x: x IS NOT NULL))) AS tokens
+        FROM ({NAMES})""",
+    "doc_id",
+)
+
+
+@query("identity_groups_pairs", PAIR_GROUPS)
+def identity_groups_pairs(t):
+    return ID.identity_groups(_names(t).select("doc_id", P.pair_tokens("path").alias("tokens"))).select("doc_id", "identity_group")
+
+
+JOBS = f"""WITH g AS ({DOC_GROUPS}), j AS (
+             SELECT d.doc_id, d.path, g.identity_group, {CAT} AS category, {BASE} AS base FROM doc_paths d JOIN g USING (doc_id)),
+           k AS (SELECT *, CASE WHEN category = 'RealVideo-RealAudio' THEN 0 WHEN category <> 'Unknown' THEN 1 WHEN lower(base) LIKE '%real%' THEN 0 ELSE 1 END AS y FROM j),
+           r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('category_sample:42:' || path), path) AS r FROM k WHERE y = 1)
+           SELECT path, category, identity_group FROM k WHERE y = 0
+           UNION ALL SELECT path, category, identity_group FROM r WHERE r <= CASE category WHEN 'FakeVideo-RealAudio' THEN 40 WHEN 'FakeVideo-FakeAudio' THEN 60 ELSE 1000000000 END"""
+
+
+@query(
+    "primary_jobs",
+    f"""SELECT (CASE category WHEN 'RealVideo-RealAudio' THEN 'RVRA' WHEN 'RealVideo-FakeAudio' THEN 'RVFA' WHEN 'FakeVideo-RealAudio' THEN 'FVRA'
+               WHEN 'FakeVideo-FakeAudio' THEN 'FVFA' ELSE 'UNK' END) || '_' || identity_group || '_' || string_split({BASE}, '.')[1] || '_' || substr(md5(path), 1, 8) AS key,
+               category, identity_group, (lower(category) LIKE '%fakevideo%')::INT AS video_label, (lower(category) LIKE '%fakeaudio%')::INT AS audio_label
+        FROM ({JOBS})""",
+)
+def primary_jobs(t):
+    from corpuslens.operators.manifests import primary_jobs as jobs
+
+    out = jobs(t.doc_paths, {"FakeVideo-RealAudio": 40, "FakeVideo-FakeAudio": 60})
+    return out.select("key", "category", "identity_group", "video_label", "audio_label")
+
+
 @query(
     "component_stats",
     f"""SELECT count(*)::BIGINT AS n_groups, sum(n)::BIGINT AS n_rows, max(n)::BIGINT AS largest, round(max(n)::DOUBLE / sum(n), 6) AS largest_share
