@@ -100,7 +100,7 @@ def missing_families(found: DataFrame, required: DataFrame, family: str) -> Data
 
 
 def require_families(found: DataFrame, required: DataFrame, family: str) -> DataFrame:
-    bad = [r[0] for r in missing_families(found, required, family).collect()]  # a handful of names
+    bad = [r[0] for r in missing_families(found, required, family).limit(20).collect()]
     if bad:
         raise ValueError(f"families not found: {sorted(bad)}")
     return found

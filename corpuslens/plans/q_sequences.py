@@ -167,7 +167,7 @@ def resample_linear(t):
 
 @query(
     "shifted_window",
-    f"""SELECT clip, win, round(o0, 4) AS o0, round(o0 + t1 - t0, 4) AS o1 FROM (
+    f"""SELECT clip, win, round(o0, 4) AS o0, round(o0 + (t1 - t0), 4) AS o1 FROM (
           SELECT *, least(greatest(t0 + (CASE WHEN {unit('shift_sign', "clip || ':' || win")} < 0.5 THEN -1 ELSE 1 END)
                     * (0.4 + (greatest(0.5, dur / 3) - 0.4) * {unit('shift_size', "clip || ':' || win")}), 0), greatest(0, dur - (t1 - t0))) AS o0 FROM spans)""",
 )
