@@ -26,6 +26,7 @@ from corpuslens.functions.hashing import MIX_A, MIX_B, MIX_MASK, MIX_STEP
 from corpuslens.functions.numeric import ratio
 from corpuslens.operators.metrics import auc_from_scores
 from corpuslens.plans.prefix import bucket_side, cut_bucket, cut_points
+from corpuslens.session import cut_lineage
 
 MIN_ROWS = 2000  # rows per score bucket before a table is cut further
 BLOCK = 1024  # rows whose weights are held at once
@@ -259,7 +260,8 @@ def bootstrap_youden(
     """(by, replicate, value): Youden threshold per replicate."""
     by = list(by)
     rows = _bucketed(df, y, score, ident, by)
-    totals = _bucket_totals(rows, by, n_boot)
+    # Read three times below; n_boot rows per bucket, stored once.
+    totals = cut_lineage(_bucket_totals(rows, by, n_boot), "totals")
     up = W.partitionBy(*by, "replicate").orderBy("bucket").rowsBetween(W.currentRow, W.unboundedFollowing)
     whole = W.partitionBy(*by, "replicate")
     from_here = totals.select(
