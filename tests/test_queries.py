@@ -37,8 +37,8 @@ def test_plan_has_no_pair_products(spark, name):
 
 def test_every_query_has_sql_and_reads_tables():
     sql = entry_points.oracle_sql()
-    assert set(sql) == set(entry_points.queries())
-    for name, text in sql.items():
+    assert set(sql) >= set(NAMES) and set(entry_points.queries()) >= set(NAMES)
+    for name, text in ((n, sql[n]) for n in NAMES):
         assert any(re.search(rf"\b{t}\b", text) for t in catalog.TABLES), name
 
 
