@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,6 @@ def _region(number: int) -> tuple[float, float]:
     return (cuts[number], cuts[number + 1]) if number < 7 else (16.0 * (number - 6), 16.0 * (number - 5))
 
 
-@lru_cache
 def _poisson_limits(mean: float) -> np.ndarray:
     """Cumulated probabilities of 0, 1, 2, ... darts, up to where doubles end."""
     terms = [math.exp(-mean)]

@@ -51,11 +51,12 @@ WITH d AS (
   FROM d GROUP BY source
 ), r AS (
   SELECT *, sum(source_size) OVER () AS total,
+         row_number() OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST) AS k,
          coalesce(sum(source_size) OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
          sum(w) OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
   FROM s
 ), l AS (
-  SELECT coalesce(min(((total - 3.0::DOUBLE * capped)::DOUBLE / open_w)::DOUBLE)
+  SELECT coalesce(arg_min((total - 3.0::DOUBLE * capped) / open_w, k)
                   FILTER (WHERE (total - 3.0::DOUBLE * capped) / open_w * w <= 3.0::DOUBLE * source_size), 0) AS share FROM r
 ), t AS (
   SELECT source, source_size, least(w * share, 3.0::DOUBLE * source_size)::DOUBLE AS target FROM s, l

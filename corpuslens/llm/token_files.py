@@ -29,7 +29,7 @@ CACHED_WORDS = 1_000_000  # encoded words a worker remembers, about 200 MB
 # (uint16) and values (uint32).  All little-endian.  Segments of a file follow
 # one another, each with a line feed after it.
 MAGIC = b"PFB1"
-HEADER = struct.Struct("<4sQIQIIQ")  # magic, bytes after the header, documents, ids, blocks, packed words, exceptions
+HEADER = "<4sQIQIIQ"  # magic, bytes after the header, documents, ids, blocks, packed words, exceptions
 
 
 def _bit_lengths(x: np.ndarray) -> np.ndarray:
@@ -97,17 +97,17 @@ def unpack_blocks(
 def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     parts = pack_blocks(ids)
     body = b"".join([doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), *[p.astype(p.dtype.newbyteorder("<")).tobytes() for p in parts]])
-    return HEADER.pack(MAGIC, len(body), len(doc_ids), len(ids), len(parts[0]), len(parts[4]), len(parts[5])) + body
+    return struct.pack(HEADER, MAGIC, len(body), len(doc_ids), len(ids), len(parts[0]), len(parts[4]), len(parts[5])) + body
 
 
 def read_segments(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids, lengths, ids) of each segment of a file."""
     at = 0
     while at < len(content):
-        magic, size, docs, n_ids, blocks, words, exceptions = HEADER.unpack_from(content, at)
+        magic, size, docs, n_ids, blocks, words, exceptions = struct.unpack_from(HEADER, content, at)
         if magic != MAGIC:
             raise ValueError("not a token file")
-        at += HEADER.size
+        at += struct.calcsize(HEADER)
         end = at + size
         arrays = []
         for kind, n in (("<i8", docs), ("<u4", docs), ("<u8", blocks), ("<u4", blocks), ("u1", blocks), ("<u2", blocks), ("<u8", words), ("<u2", exceptions), ("<u4", exceptions)):
