@@ -54,12 +54,16 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_block", F.explode(F.array(*parts))).select("*", "_block.block", "_block.value").drop("_block")
 
 
-def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(id, key, item, at, words): item-sized windows with a shingle where the item has it.
-
-    A window without any shingle of the item has similarity 0, so others need
-    no fingerprint.  ``items`` is a block of bounded size and goes to all
-    tasks; texts are read once, and only windows leave the scan.
+def _windows(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, key, item, at, words): item-sized windows that have enough of the item's shingles.
+
+    With ``m`` shingles a window as similar as asked has 2 m s / (1 + s) in
+    common with the item, and as words go in and out of a passage its shingles
+    move by less than an eighth of its length.  So windows start up to that far
+    from where a shared shingle has its place in the item, and those with too
+    few shared shingles get no fingerprint.  ``items`` is a block of bounded
+    size and goes to all tasks; texts are read once, and only windows leave the
+    scan.
     """
     n = F.size("words") - size + 1
     places = docs.filter(n > 0).select("id", "key", "words", F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
@@ -69,11 +73,15 @@ def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
         "item", "n", "_q", F.xxhash64(*[F.get(F.col("words"), F.col("_q") + j) for j in range(size)]).alias("_h")
     )
     met = places.withColumn("_h", run).join(F.broadcast(wanted), "_h")
-    at = F.col("_i") - F.col("_q")
-    inside = met.filter((at >= 0) & (at + F.col("n") <= F.size("words")))
+    at, most = F.col("_i") - F.col("_q"), F.size("words") - F.col("n")
+    far = F.floor(F.col("n") / 8).cast("int")
+    low, high = F.greatest(F.lit(0), at - far), F.least(most, at + far)
+    moved = met.filter(low <= high).select("id", "key", "item", "n", "words", F.explode(F.sequence(low, high)).alias("at"))
+    m = F.col("n") - size + 1
     return (
-        inside.select("id", "key", "item", at.alias("at"), F.slice(F.col("words"), at + 1, F.col("n")).alias("words"))
-        .groupBy("id", "key", "item", "at").agg(F.first("words").alias("words"))
+        moved.select("id", "key", "item", "n", "at", F.slice(F.col("words"), F.col("at") + 1, F.col("n")).alias("words"))
+        .groupBy("id", "key", "item", "n", "at").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("_met"))
+        .filter(F.col("_met") >= F.ceil(2 * m * similarity / (1 + similarity) - 1e-9)).drop("n", "_met")
     )
 
 
@@ -85,9 +93,8 @@ def matches(
     Words are lower-cased runs of letters and digits; shingles have five words,
     an item of fewer words is one shingle; weights are numbers of occurrences,
     and the similarity of a window and an item is the sum of the lesser weights
-    over the sum of the greater ones.  A window is as long as its item and
-    starts so that some shingle stands at one place in both.  Its fingerprint
-    must lie within RADIUS of the item's; blocks of bits find all such pairs.
+    over the sum of the greater ones.  A window is as long as its item; see
+    ``_windows`` for where it may start.  Its fingerprint must lie within RADIUS of the item's; blocks of bits find all such pairs.
 
     Null and wordless texts and items match nothing; a null doc_id is kept as
     null; ``key`` is a hash of the text, for tables where doc_ids repeat; equal
@@ -109,7 +116,7 @@ def matches(
     for size in sizes:
         sized = items.filter(F.col("size") == size)
         for block in range(n_blocks):
-            part = _windows(worded, sized.filter(F.col("block_no") == block), size)
+            part = _windows(worded, sized.filter(F.col("block_no") == block), size, similarity)
             part = part.withColumn("size", F.lit(size))
             found = part if found is None else found.unionByName(part)
     if found is None:
