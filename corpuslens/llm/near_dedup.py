@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.text import LAST_ID, chunks, given_id, identified, mix, scan
 from corpuslens.operators.identity import components
-from corpuslens.plans.prefix import seeded_rank
 from corpuslens.session import cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4  # a pair 0.8 alike shares no band with probability 3e-6
-FIRST_REPRESENTATIVES = 4  # members of a bucket that are compared with all others in the first round
+FIRST_REPRESENTATIVES = 2  # members of a bucket that are compared with all others in the first round; four times as many in each later one
+KEPT_SHINGLES = 400_000  # about 100 MB
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
 _UNIT = 1.0 / (1 << 53)
@@ -143,53 +143,65 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 
 
 def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(a, b) of pairs that are alike enough; rows come sorted by ``a``, whose shingles are kept for the next row."""
-    last, left = None, None
+    """(a, b) of pairs that are alike enough; the shingles of texts just seen are kept, up to KEPT_SHINGLES of them."""
+    kept, held = {}, 0
+
+    def shingles(number: int, text: str) -> Counter:
+        nonlocal held
+        if number not in kept:
+            if held > KEPT_SHINGLES:
+                kept.clear()
+                held = 0
+            kept[number] = _shingle_counts(text)
+            held += len(kept[number])
+        return kept[number]
+
     for frame in frames:
-        keep = []
-        for a, b, text_a, text_b in zip(frame["a"], frame["b"], frame["text_a"], frame["text_b"], strict=True):
-            if a != last:
-                last, left = a, _shingle_counts(text_a)
-            keep.append(weighted_similarity(left, _shingle_counts(text_b)) >= SIMILARITY)
+        keep = [
+            weighted_similarity(shingles(a, text_a), shingles(b, text_b)) >= SIMILARITY
+            for a, b, text_a, text_b in zip(frame["a"], frame["b"], frame["text_a"], frame["text_b"], strict=True)
+        ]
         yield frame.loc[keep, ["a", "b"]]
 
 
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified (a, b) pairs among representatives that share a bucket, in rounds.
-
-    In each round some members of a bucket are compared with all members of
-    other classes; then classes grow along the links found.  Members of one
-    class need no comparison any more.  The rounds end when every bucket is of
-    one class or all but one of its members have been compared; so no link
-    between classes is missed, without forming all pairs of a bucket.
+    """(id, class) of linked texts, from members (bucket, id, total), in rounds.
+
+    In each round a few members of each bucket are compared with the members
+    of other classes there; then classes grow along the links found.  Members
+    of one class need no comparison any more, and those with most links so far
+    are asked first, because what many texts resemble joins the rest.  The
+    rounds end when every bucket is of one class or all its members have been
+    asked; so no link between classes is missed, and no bucket is paired out
+    unless its texts really differ.
     """
     spark = members.sparkSession
-    links, classes, asked, per_round = None, None, 0, FIRST_REPRESENTATIVES
+    links, classes, asked, slices = None, None, None, FIRST_REPRESENTATIVES
     while True:
-        now = members
-        if classes is not None:
-            now = now.join(classes, "id", "left").withColumn("class", F.coalesce("class", F.col("id")))
+        if classes is None:
+            now = members.select("*", F.col("id").alias("class"), F.lit(0).cast("bigint").alias("degree"))
         else:
-            now = now.withColumn("class", F.col("id"))
-        # Members are numbered in their bucket once, so the ones asked so far are those below a number.
-        open_buckets = now.groupBy("bucket").agg(
-            F.min("class").alias("_low"), F.max("class").alias("_high"), F.max("number").alias("_last")
-        ).filter((F.col("_low") != F.col("_high")) & (F.col("_last") > asked))
-        open_buckets = cut_lineage(open_buckets.select("bucket"), "open")
-        if open_buckets.isEmpty():
-            break
-        open_rows = cut_lineage(now.join(open_buckets, "bucket"), "open_rows")
-        asking = open_rows.filter((F.col("number") >= asked) & (F.col("number") < asked + per_round))
-        asking = asking.select(
-            "bucket", F.col("id").alias("a"), F.col("class").alias("class_a"), F.col("number").alias("number_a"), F.col("total").alias("total_a")
+            now = members.join(classes, "id", "left").withColumns(
+                {"class": F.coalesce("class", F.col("id")), "degree": F.coalesce("degree", F.lit(0))}
+            )
+        now = cut_lineage(now, "now") if classes is not None else now
+        mixed = now.groupBy("bucket").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).filter("_low != _high")
+        open_rows = now.join(cut_lineage(mixed.select("bucket"), "open"), "bucket")
+        if asked is not None:
+            open_rows = open_rows.join(asked.withColumn("_asked", F.lit(True)), ["bucket", "id"], "left").filter("_asked is null").drop("_asked")
+        # A member asked earlier has met all others, so only the rest goes on.
+        members = cut_lineage(open_rows.select("bucket", "id", "total", "class", "degree"), "open_rows")
+        leaders = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("_slice")).agg(
+            F.max(F.struct("degree", F.xxhash64("id", F.lit(1)), "id", "class", "total")).alias("_a")
         )
+        asking = leaders.select("bucket", F.col("_a.id").alias("a"), F.col("_a.class").alias("class_a"), F.col("_a.total").alias("total_a"))
+        asking = cut_lineage(asking, "asking")
+        if asking.isEmpty():
+            break
         # The similarity can't be above the ratio of the total weights.
         may = F.least("total", "total_a") >= SIMILARITY * F.greatest("total", "total_a")
-        # A pair of asking members is formed once; one asked earlier has met this member already.
-        different = F.col("number") > F.col("number_a")
         pairs = (
-            open_rows.join(asking, "bucket")
-            .filter((F.col("class") != F.col("class_a")) & may & different)
+            members.join(asking, "bucket").filter((F.col("class") != F.col("class_a")) & may)
             .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         )
         pairs = cut_lineage(pairs, "pairs")
@@ -200,10 +212,15 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
         checked = both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
         found = cut_lineage(checked.mapInPandas(_verified, "a bigint, b bigint"), "links")
         links = found if links is None else links.unionByName(found)
-        edges = links.unionByName(links.select("a", F.col("a").alias("b")))
-        classes = cut_lineage(components(edges).select(F.col("token").alias("id"), F.col("component").alias("class")), "classes")
-        asked, per_round = asked + per_round, per_round * 32
-    return classes if classes is not None else spark.createDataFrame([], "id bigint, class bigint")
+        degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+        linked = components(links).select(F.col("token").alias("id"), F.col("component").alias("class"))
+        classes = cut_lineage(linked.join(degrees, "id"), "classes")
+        now_asked = asking.select("bucket", F.col("a").alias("id"))
+        asked = cut_lineage(now_asked, "asked")
+        members, slices = members.select("bucket", "id", "total"), slices * 4
+    if classes is None:
+        return spark.createDataFrame([], "id bigint, class bigint")
+    return classes.select("id", "class")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -221,8 +238,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     banded = signed.select("id", "total", F.posexplode("bands").alias("band", "value"))
     banded = cut_lineage(banded.select("id", "total", F.xxhash64("band", "value").alias("bucket")), "bands")
     shared = cut_lineage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "shared")
-    ranked = seeded_rank(banded.join(shared, "bucket"), ["id"], "bucket", 3, by=["bucket"], rank="number")
-    members = cut_lineage(ranked.withColumn("number", F.col("number") - 1), "members")
+    members = cut_lineage(banded.join(shared, "bucket"), "members")
     classes = _links(members, texts)
     linked = coded.join(classes.withColumnRenamed("id", "code"), "code", "left").select(
         "content", "id", "key", F.coalesce("class", "code").alias("_class")
