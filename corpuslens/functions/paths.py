@@ -23,16 +23,6 @@ CATEGORY_CODES = {
     "FakeVideo-FakeAudio": "FVFA",
     "Unknown": "UNK",
 }
-FOREIGN_CORPUS_TOKENS = [
-    "dfdc",
-    "deepfake-detection",
-    "celeb-df",
-    "celebdf",
-    "asvspoof",
-    "ff-c23",
-    "faceforensics",
-    "in-the-wild",
-]
 LABELLED_FOLDERS = {"Celeb-real": 0, "YouTube-real": 0, "Celeb-synthesis": 1}
 IDENTITY_PATTERN = r"(id\d+)"
 # --- end of fixed values ----------------------------------------------------

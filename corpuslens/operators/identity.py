@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.plans.prefix import salted_join
 from corpuslens.session import cut_lineage
 
 
@@ -29,8 +30,9 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
         sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     else:
         sym = edges
-    low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = sym.join(low, "u")
+    low = sym.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+    linked = salted_join(sym, low, ["u"], count="_n")
+    low = low.drop("_n")
     if large:
         out = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -74,7 +76,7 @@ def identity_groups(clips: DataFrame, tokens: str = "tokens", name: str = "ident
     """``clips`` with the identity group of their first token."""
     label = components(token_edges(clips, tokens)).withColumnRenamed("component", name)
     tagged = clips.withColumn("token", F.element_at(tokens, 1))
-    return tagged.join(label, "token", "left").drop("token")
+    return salted_join(tagged, label, ["token"], "left").drop("token")
 
 
 def component_stats(clips: DataFrame, group: str = "identity_group") -> DataFrame:

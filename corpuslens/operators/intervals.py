@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.numeric import dot
 from corpuslens.plans.prefix import running_totals, with_group_stats
+from corpuslens.session import cut_lineage
 
 
 def interval_join(
@@ -41,17 +42,18 @@ def window_slices(
     """Samples of each padded window with their z-score over the window.
 
     Bounds are widened by ``pad`` on both sides, rounded half-even to the
-    sample grid and clipped at zero; a slice under ``min_samples`` reads zero.
+    sample grid and clipped at zero; a slice under ``min_samples`` reads zero,
+    and a window without samples is one row with a null time.
     """
     lo = F.greatest(F.lit(0.0), F.bround((F.col("t0") - F.col("pad")) * rate, 0) / rate)
     hi = F.bround((F.col("t1") + F.col("pad")) * rate, 0) / rate
     rows = interval_join(windows.select(clip, win, "t0", "t1", "pad"), samples, clip, lo, hi, t, width)
-    rows = rows.select(clip, win, t, value)
+    rows = cut_lineage(rows.select(clip, win, t, value), "slices")  # read for the rows, the statistics and the empty windows
     stats = with_group_stats(rows, [clip, win], _n=F.count(F.lit(1)), _m=F.avg(value), _s=F.stddev_pop(value))
     z = (F.col(value) - F.col("_m")) / (F.col("_s") + eps)
-    return stats.select(
-        clip, win, t, F.when(F.col("_n") >= min_samples, z).otherwise(F.lit(0.0)).alias("z")
-    )
+    sliced = stats.select(clip, win, t, F.when(F.col("_n") >= min_samples, z).otherwise(F.lit(0.0)).alias("z"))
+    empty = windows.select(clip, win).join(rows.select(clip, win).distinct(), [clip, win], "left_anti")
+    return sliced.unionByName(empty.select(clip, win, F.lit(None).cast(dict(samples.dtypes)[t]).alias(t), F.lit(0.0).alias("z")))
 
 
 def lag_profile(
@@ -59,6 +61,9 @@ def lag_profile(
 ) -> DataFrame:
     """(clip, k, n, sim): mean dot product of a at t with b at t + k, |k| <= max_lag.
 
+    Every clip of ``a`` has a row per lag; without valid frames that have a
+    partner there, n and sim are 0.
+
     ``t`` is an integer frame index; vectors are expected at unit norm.  b is
     repeated for the at most two neighbouring cells its partners lie in, so
     the shuffle carries every vector about twice, not 2 * max_lag + 1 times.
@@ -70,11 +75,15 @@ def lag_profile(
     span = F.sequence(F.floor((F.col(t) - max_lag) / width), F.floor((F.col(t) + max_lag) / width))
     right = b.select(clip, F.col(t).alias("_tb"), F.col(vec).alias("_vb"), F.explode(span).alias("_cell"))
     near = left.join(right, [clip, "_cell"]).filter(F.abs(F.col("_tb") - F.col("_ta")) <= max_lag)
-    return (
+    met = (
         near.withColumn("k", (F.col("_tb") - F.col("_ta")).cast("int"))
         .groupBy(clip, "k")
         .agg(F.count(F.lit(1)).alias("n"), F.avg(dot("_va", "_vb")).alias("sim"))
     )
+    grid = a.select(clip).distinct().select(clip, F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("k"))
+    return grid.join(met, [clip, "k"], "left").select(
+        clip, "k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sim", F.lit(0.0)).alias("sim")
+    )
 
 
 def lag_summary(profiles: DataFrame, clip: str, kind: str) -> DataFrame:

@@ -15,11 +15,11 @@ from corpuslens.sources.listing import FAMILIES, exclude_tokens
 
 
 def primary_jobs(
-    listed: DataFrame, caps: dict[str, int], exclude: Sequence[str] = P.FOREIGN_CORPUS_TOKENS, seed: int = 42
+    listed: DataFrame, caps: dict[str, int], exclude: Sequence[str], seed: int = 42
 ) -> DataFrame:
     """(key, path, category, identity_group, labels) of the clips to extract.
 
-    Exclusion and caps come before anything expensive downstream; identity
+    ``exclude`` lists tokens of other corpora's paths.  Exclusion and caps come before anything expensive downstream; identity
     groups see every candidate, capped or not.
     """
     pool = exclude_tokens(listed.select("path"), exclude).withColumn("category", P.category("path"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslens.plans.prefix import seeded_rank
+from corpuslens.plans.prefix import salted_join, seeded_rank
 from corpuslens.session import cut_lineage
 
 
@@ -19,8 +19,7 @@ def pair_by_target(df: DataFrame, key: str, target: str = "target_id", label: st
     base = df.filter(F.col(label) == 0)
     fakes = df.filter(F.col(label) == 1).select(F.col(key).alias("fake_key"), target)
     real = base.groupBy(target).agg(F.max(key).alias("real_key"))
-    # Many fakes to one real row per target: AQE splits a hot target's fakes.
-    paired = fakes.join(real, target, "left").select("real_key", "fake_key")
+    paired = salted_join(fakes, real, [target], "left").select("real_key", "fake_key")
     used = fakes.select(target).distinct().join(real, target).select(F.col("real_key").alias(key))
     lone = base.join(used, key, "left_anti").select(F.col(key).alias("real_key"), F.lit(None).cast("string").alias("fake_key"))
     return paired.unionByName(lone)

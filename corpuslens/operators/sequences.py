@@ -209,7 +209,7 @@ def shifted_windows(windows: DataFrame, clip: str, win: str, seed: int = 42) ->
 
 
 def masked_pool(df: DataFrame, clip: str, vector: str, valid: str, floor: float = 1e-8) -> DataFrame:
-    """(clip, n_valid, mean, std) arrays over valid frames.
+    """(clip, n_valid, mean, std) arrays over valid frames; a clip without any has mean 0 and the floored deviation.
 
     One JVM vector aggregate with map-side combine: frames are not exploded by
     dimension.  Population deviation, variance floored.
@@ -229,4 +229,12 @@ def masked_pool(df: DataFrame, clip: str, vector: str, valid: str, floor: float
     # The summarizer's variance is the sample variance; rescale to population.
     scale = (F.col("n_valid") - 1) / F.col("n_valid")
     std = F.transform("_var", lambda v: F.sqrt(F.greatest(v * scale, F.lit(floor))))
-    return pooled.select(clip, "n_valid", "mean", std.alias("std"))
+    found = pooled.select(clip, "n_valid", "mean", std.alias("std"))
+    # Aggregates by clip on both sides meet without another shuffle.
+    clips = df.groupBy(clip).agg(F.max(F.size(vector)).alias("_dim"))
+    return clips.join(found, clip, "left").select(
+        clip,
+        F.coalesce("n_valid", F.lit(0)).alias("n_valid"),
+        F.coalesce("mean", F.array_repeat(F.lit(0.0), F.col("_dim"))).alias("mean"),
+        F.coalesce("std", F.array_repeat(F.lit(floor**0.5), F.col("_dim"))).alias("std"),
+    )

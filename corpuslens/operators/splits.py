@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.hashing import hash_bucket, tag_hash
-from corpuslens.plans.prefix import bucket_starts, hash_rank, seeded_rank
+from corpuslens.plans.prefix import salted_join, bucket_starts, hash_rank, seeded_rank
 
 NAMES = ("train", "val", "test")
 
@@ -108,7 +108,7 @@ def official_split(df: DataFrame, ids: DataFrame, target: str = "target_id", sou
                        (F.col("_in_train") + F.col("_in_held") > 1).alias("_both"))
     t = side.select(F.col("id").alias(target), F.col("_side").alias("_t"), "_both")
     s = side.select(F.col("id").alias(source), F.col("_side").alias("_s"))
-    joined = df.join(t, target, "left").join(s, source, "left")
+    joined = salted_join(salted_join(df, t, [target], "left"), s, [source], "left")
     has_source = F.col(source).isNotNull() & (F.col(source).cast("string") != "")
     problem = (
         F.when(F.col("_t").isNull(), "unknown_target")
@@ -143,7 +143,7 @@ def source_leakage(df: DataFrame, target: str = "target_id", source: str = "sour
     known = train.select(F.explode(F.array(F.col(target).cast("string"), F.col(source).cast("string"))).alias("_id"))
     known = known.filter("_id is not null and _id != ''").distinct()
     val = df.filter(F.col("split") == "val").withColumn("_id", F.col(source).cast("string"))
-    return val.join(known, "_id", "left_semi").drop("_id")
+    return salted_join(val, known, ["_id"], "left_semi").drop("_id")
 
 
 def parent_holdout(df: DataFrame, parent: str, frac: float = 0.1, seed: int = 42) -> DataFrame:

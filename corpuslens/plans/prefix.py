@@ -194,11 +194,37 @@ def hash_rank(
     return bucketed_rank(df, bucket, [F.col(h), *[F.col(k) for k in key]], by, rank, total, keep_below, bounded=True)
 
 
+def salted_join(rows: DataFrame, side: DataFrame, by: Sequence[str], how: str = "inner", count: str | None = None) -> DataFrame:
+    """Join ``rows`` with ``side``, which has at most one row per ``by``, so that no task gets all rows of a hot key.
+
+    Rows of a key above 1 / pieces of the table get a salt from a hash of the
+    whole row, and the key's side row is repeated once per salt.  There are
+    fewer such keys than pieces, so their table may be broadcast, and the side
+    grows by fewer rows than pieces.  ``count`` names a column of ``side`` that
+    holds the number of rows per key; it saves a count and is dropped.
+    """
+    by, pieces = list(by), pieces_wanted(rows.sparkSession)
+    if count:
+        total = side.agg(F.sum(count)).scalar()
+        share = F.col(count) * pieces / F.col("_all")
+        big = side.withColumn("_all", total).filter(share > 1).select(*by, F.ceil(share).alias("_pieces"))
+        side = side.drop(count)
+    else:
+        big = big_groups(rows, by, pieces).select(*by, "_pieces")
+    big = F.broadcast(big)
+    whole = F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind])
+    salted = rows.withColumn("_whole", whole).join(big, by, "left")
+    salted = salted.withColumn("_salt", F.coalesce(F.pmod("_whole", F.col("_pieces")), F.lit(0))).drop("_pieces", "_whole")
+    spread = side.join(big, by, "left")
+    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return salted.join(spread, [*by, "_salt"], how).drop("_salt")
+
+
 def with_group_stats(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     """Attach per-group aggregates by aggregate-and-join instead of a window.
 
-    The aggregate combines map-side, and the join side holds one row per
-    group, so AQE can split the rows of a hot group; a window could not.
+    The aggregate combines map-side, and rows of a hot group are salted over
+    many tasks; a window could do neither.
     """
-    stats = df.groupBy(*by).agg(*[v.alias(k) for k, v in aggs.items()])
-    return df.join(stats, list(by), "left")
+    stats = df.groupBy(*by).agg(*[v.alias(k) for k, v in aggs.items()], F.count(F.lit(1)).alias("_rows"))
+    return salted_join(df, stats, by, "left", count="_rows")

@@ -177,7 +177,7 @@ JOBS = f"""WITH g AS ({DOC_GROUPS}), j AS (
 def primary_jobs(t):
     from corpuslens.operators.manifests import primary_jobs as jobs
 
-    out = jobs(t.doc_paths, {"FakeVideo-RealAudio": 40, "FakeVideo-FakeAudio": 60})
+    out = jobs(t.doc_paths, {"FakeVideo-RealAudio": 40, "FakeVideo-FakeAudio": 60}, exclude=["other-corpus"])
     return out.select("key", "category", "identity_group", "video_label", "audio_label")
 
 

@@ -126,11 +126,14 @@ def batch_score(t):
 
 @query(
     "masked_pool",
-    """SELECT clip, d::INT AS dim, round(avg(v), 6) + 0.0 AS mean, round(sqrt(greatest(var_pop(v), 1e-8)), 6) AS std
-       FROM (SELECT clip, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS d FROM frames WHERE valid) GROUP BY 1, 2""",
+    """SELECT clip, d::INT AS dim, coalesce(round(avg(v) FILTER (WHERE valid), 6) + 0.0, 0) AS mean,
+              round(sqrt(greatest(coalesce(var_pop(v) FILTER (WHERE valid), 0), 1e-8)), 6) AS std
+       FROM (SELECT clip, valid, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS d
+             FROM (SELECT clip, valid AND clip % 5 <> 0 AS valid, embedding FROM frames)) GROUP BY 1, 2""",
 )
 def masked_pool(t):
-    out = Q.masked_pool(t.frames, "clip", "embedding", "valid")
+    frames = t.frames.withColumn("valid", F.col("valid") & (F.col("clip") % 5 != 0))  # some clips have no valid frame
+    out = Q.masked_pool(frames, "clip", "embedding", "valid")
     rows = out.select("clip", F.posexplode(F.arrays_zip("mean", "std")).alias("dim", "v"))
     return rows.select("clip", "dim", rounded("v.mean").alias("mean"), rounded("v.std").alias("std"))
 
@@ -179,26 +182,35 @@ def shifted_window(t):
 @query(
     "interval_slice",
     """SELECT clip, win, round(t, 6) AS t, round(CASE WHEN n < 5 THEN 0 ELSE (value - m) / (s + 1e-8) END, 6) + 0.0 AS z FROM (
-         SELECT *, count(*) OVER p AS n, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s FROM (
-           SELECT w.clip, w.win, x.t, x.value FROM spans w JOIN series x ON x.clip = w.clip
+         SELECT *, count(value) OVER p AS n, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s FROM (
+           SELECT w.clip, w.win, x.t, x.value FROM (
+             SELECT clip, win, t0, t1, pad FROM spans UNION ALL SELECT clip, -1 - win, -t1 - 600, -t0 - 600, 0 FROM spans WHERE win < 2) w
+             LEFT JOIN series x ON x.clip = w.clip
              AND x.t >= greatest(0, round_even((w.t0 - w.pad) / 64, 0) * 64) AND x.t < round_even((w.t1 + w.pad) / 64, 0) * 64)
          WINDOW p AS (PARTITION BY clip, win))""",
 )
 def interval_slice(t):
-    out = V.window_slices(t.spans, t.series, "clip", "win", "t", "value", 1 / 64, 7200.0)
+    spans = t.spans.select("clip", "win", "t0", "t1", "pad")
+    before = spans.filter("win < 2").selectExpr("clip", "-1 - win AS win", "-t1 - 600 AS t0", "-t0 - 600 AS t1", "pad * 0 AS pad")
+    out = V.window_slices(spans.unionByName(before), t.series, "clip", "win", "t", "value", 1 / 64, 7200.0)
     return out.select("clip", "win", rounded("t").alias("t"), rounded("z").alias("z"))
 
 
-LAG = """SELECT a.clip, (b.frame_idx + {shift} - a.frame_idx)::INT AS k, count(*)::BIGINT AS n, avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS sim
-         FROM frames a JOIN frames b ON b.clip = a.clip AND abs(b.frame_idx + {shift} - a.frame_idx) <= 4 WHERE a.valid GROUP BY 1, 2"""
+LAG = """SELECT c.clip, c.k, coalesce(n, 0)::BIGINT AS n, coalesce(sim, 0) AS sim
+         FROM (SELECT DISTINCT clip, k::INT AS k FROM frames, range(-8, 9) r(k)) c LEFT JOIN (
+           SELECT a.clip, (b.frame_idx + {shift} - a.frame_idx)::INT AS k, count(*)::BIGINT AS n,
+                  avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS sim
+           FROM frames a JOIN frames b ON b.clip = a.clip AND abs(b.frame_idx + {shift} - a.frame_idx) <= 8
+           WHERE a.valid AND a.clip % 5 <> 0 GROUP BY 1, 2) m ON m.clip = c.clip AND m.k = c.k"""
 
 
 def _lag(t, shift: int):
     raw = F.col("embedding").cast("array<double>")
-    unit_rows = t.frames.select("clip", "frame_idx", "valid", raw.alias("_v")).withColumn("_n", norm("_v"))
+    valid = F.col("valid") & (F.col("clip") % 5 != 0)  # some clips have no valid frame
+    unit_rows = t.frames.select("clip", "frame_idx", valid.alias("valid"), raw.alias("_v")).withColumn("_n", norm("_v"))
     rows = unit_rows.select("clip", "frame_idx", "valid", F.transform("_v", lambda x: x / F.col("_n")).alias("vec"))
     other = rows.withColumn("frame_idx", F.col("frame_idx") + shift)
-    return V.lag_profile(rows, other, "clip", "frame_idx", "vec", "valid", 4)
+    return V.lag_profile(rows, other, "clip", "frame_idx", "vec", "valid", 8)
 
 
 @query("lag_profile", f"SELECT clip, k, n, round(sim, 6) + 0.0 AS sim FROM ({LAG.format(shift=0)})")

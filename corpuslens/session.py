@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +28,8 @@ def build_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "corp
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder, because there the
-    driver and the executors are the same machine.
+    Where it is unset, as in tests, a folder under the session's warehouse is
+    used, which executors must reach anyway to store tables.
     """
     root = (
         spark.conf.get("spark.checkpoint.dir", None)
@@ -38,10 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         or spark.sparkContext.getCheckpointDir()
     )
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="corpuslens-")
-        spark.sparkContext.setCheckpointDir(root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return root
 
 

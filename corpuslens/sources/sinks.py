@@ -33,11 +33,15 @@ def write_results(df: DataFrame, path: str, raw: Sequence[str] = ("y_true", "y_s
     df.drop(*raw).write.mode("overwrite").json(path)
 
 
-def append_results(df: DataFrame, path: str, fields: Sequence[str]) -> None:
-    """Add an arm's rows; columns outside ``fields`` are ignored, missing are NULL."""
+def append_results(df: DataFrame, path: str, fields: Sequence[str], arm: str = "arm") -> None:
+    """Store the rows of one or more arms, each in a folder of its own, so that an arm stored again replaces itself.
+
+    Columns outside ``fields`` are ignored, missing ones are NULL.
+    """
     have = set(df.columns)
     row = [F.col(f) if f in have else F.lit(None).cast("string").alias(f) for f in fields]
-    df.select(*row).write.mode("append").csv(path, header=True)
+    out = df.select(*row).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(arm).csv(path, header=True)
 
 
 def write_keys(df: DataFrame, path: str, key: str = "key") -> None:

@@ -115,7 +115,8 @@ def valid_splits(files: DataFrame) -> DataFrame:
     whole = dirs.groupBy("dir").agg(F.max("_in").alias("_in"))
     have = good.select("dir", "split").distinct().groupBy("dir").agg(F.count(F.lit(1)).alias("_k"))
     sound = whole.join(have, "dir").filter("_in = 1 and _k = 3")
-    first = sound.agg(F.min("dir")).scalar()
+    # The folder whose train file comes first by path, which differs from the first folder where folders nest.
+    first = sound.agg(F.min_by("dir", F.concat("dir", F.lit("/train.json")))).scalar()
     return ids.withColumn("_first", first).filter("dir = _first").select("split", "id")
 
 

@@ -21,21 +21,27 @@ def ingest_new(
 ) -> DataFrame:
     """Process every job file not yet seen, skip stored keys, append the rest.
 
-    The file source's checkpoint remembers which files were read; a batch
-    overwrites its own ``batch=`` folder, so a retry after a lost executor or
-    driver writes the same rows once.  Returns the stored table, all statuses.
+    The file source's checkpoint remembers which files were read.  A batch
+    overwrites its own folder, named after the stream's id and the batch, so a
+    retry after a lost executor or driver writes the same rows once, and a
+    stream with a new checkpoint keeps what others stored.  Of rows with one
+    key the least is taken.  Returns the stored table, all statuses.
     """
 
     # An empty first folder gives the store its schema before any batch runs.
     empty = transform(spark.createDataFrame([], schema)).withColumn("status", status)
-    empty.write.mode("ignore").parquet(f"{out}/batch=-1")
+    empty.write.mode("ignore").parquet(f"{out}/run=none/batch=-1")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         # A retried batch must not see its own earlier attempt.
-        stored = batch.sparkSession.read.parquet(out).filter(F.col("batch") != batch_id).select(key)
-        fresh = batch.dropDuplicates([key]).join(stored, key, "left_anti")
+        session = batch.sparkSession
+        run = session.read.json(f"{checkpoint}/metadata").first()["id"]
+        own = (F.col("run") == run) & (F.col("batch") == batch_id)
+        stored = session.read.parquet(out).filter(~own).select(key)
+        one = batch.groupBy(key).agg(F.min(F.struct(*batch.columns)).alias("_row")).select("_row.*")
+        fresh = one.join(stored, key, "left_anti")
         rows = transform(fresh).withColumn("status", status)
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
     stream = spark.readStream.format(file_format).schema(schema).load(source)
     query = (
