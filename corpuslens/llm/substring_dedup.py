@@ -13,7 +13,7 @@ from corpuslens.llm.text import LAST_ID, Words, chunks, given_id, identified, sc
 from corpuslens.session import cut_lineage
 
 WINDOW = 13  # words
-GRAM = 3  # words in an anchor
+GRAM = 4  # words in an anchor
 SHARD_WORDS = 400_000  # words of an FM-index, and of one anchor before its windows are dealt out singly
 
 
@@ -239,7 +239,7 @@ def _search_shard(frame: pd.DataFrame) -> pd.DataFrame:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(id, key, at, least): windows that also start in a document with a smaller id, ``least``; at counts words.
 
-    Every window has an anchor, a run of three of its words that only its own
+    Every window has an anchor, a run of four of its words that only its own
     words choose.  Anchors seen in one document alone are dropped; what remains
     is cut into passages of windows with one anchor, equal passages become one,
     and an anchor's passages form a shard with those of other anchors.  An
