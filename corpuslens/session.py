@@ -46,12 +46,12 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the stored table.
 
     The files survive lost executors, and their known size lets Spark choose
     broadcast joins for small results.
     """
     path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
