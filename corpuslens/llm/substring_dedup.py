@@ -13,7 +13,7 @@ from corpuslens.llm.text import LAST_ID, Words, chunks, given_id, identified, sc
 from corpuslens.session import cut_lineage
 
 WINDOW = 13  # words
-GRAM = 4  # words in an anchor
+GRAM = 3  # words in an anchor
 SHARD_WORDS = 400_000  # words of an FM-index, and of one anchor before its windows are dealt out singly
 
 
@@ -220,10 +220,10 @@ def _windows_of(passage: str) -> Column:
 
 def _search_shard(frame: pd.DataFrame) -> pd.DataFrame:
     """Index the passages of a shard and stream them against the index: the smallest document of each window."""
-    lists = [p.split(" ") for p in frame["passage"]]
-    names, text = np.unique(np.array([w.encode() for ws in lists for w in ws], dtype=object), return_inverse=True)
+    words = scan(frame["passage"].tolist())
+    names, text = np.unique(words.hashes(), return_inverse=True)  # 64 bits, so numbers stand for words
     text = text.astype(np.int64) + 1
-    length = np.array([len(ws) for ws in lists])
+    length = np.diff(words.first)
     ends = np.cumsum(length)
     index = FMIndex([text[a:b] for a, b in zip(ends - length, ends, strict=True)], len(names) + 1)
     count = length - WINDOW + 1
@@ -239,7 +239,7 @@ def _search_shard(frame: pd.DataFrame) -> pd.DataFrame:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(id, key, at, least): windows that also start in a document with a smaller id, ``least``; at counts words.
 
-    Every window has an anchor, a run of four of its words that only its own
+    Every window has an anchor, a run of three of its words that only its own
     words choose.  Anchors seen in one document alone are dropped; what remains
     is cut into passages of windows with one anchor, equal passages become one,
     and an anchor's passages form a shard with those of other anchors.  An
@@ -254,12 +254,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = rows.join(known, ["id", "key"]).mapInPandas(
         _passages, "id bigint, key bigint, at bigint, windows bigint, anchor bigint, passage string"
     )
-    passages = cut_lineage(found.withColumn("content", F.xxhash64("passage")), "passages")
+    passages = cut_lineage(found.withColumn("content", F.xxhash64("passage")), "passages", "zstd")
 
     def distinct(p: DataFrame) -> DataFrame:
         return p.groupBy("anchor", "content", "passage").agg(F.min("id").alias("first"))
 
-    one = cut_lineage(distinct(passages), "distinct")
+    one = cut_lineage(distinct(passages), "distinct", "zstd")
     words = F.size(F.split("passage", " "))
     hot = one.groupBy("anchor").agg(F.sum(words).alias("n")).filter(F.col("n") > SHARD_WORDS).select("anchor")
     hot = cut_lineage(hot, "hot")
