@@ -18,7 +18,7 @@ from corpuslens.session import cut_lineage
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4  # a pair 0.8 alike shares no band with probability 3e-6
-FIRST_REPRESENTATIVES = 2  # members of a bucket that are compared with all others in the first round; four times as many in each later one
+FIRST_REPRESENTATIVES = 2  # members of a bucket that are compared with all others in the first round; eight times as many in each later one
 KEPT_SHINGLES = 400_000  # about 100 MB
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
@@ -211,13 +211,13 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
         both = both.join(needed.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         checked = both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
         found = cut_lineage(checked.mapInPandas(_verified, "a bigint, b bigint"), "links")
-        links = found if links is None else links.unionByName(found)
-        degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        linked = components(links).select(F.col("token").alias("id"), F.col("component").alias("class"))
-        classes = cut_lineage(linked.join(degrees, "id"), "classes")
-        now_asked = asking.select("bucket", F.col("a").alias("id"))
-        asked = cut_lineage(now_asked, "asked")
-        members, slices = members.select("bucket", "id", "total"), slices * 4
+        if not found.isEmpty():
+            links = cut_lineage(found if links is None else links.unionByName(found), "all_links")
+            degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+            linked = components(links).select(F.col("token").alias("id"), F.col("component").alias("class"))
+            classes = cut_lineage(linked.join(degrees, "id"), "classes")
+        asked = asking.select("bucket", F.col("a").alias("id"))
+        members, slices = members.select("bucket", "id", "total"), slices * 8
     if classes is None:
         return spark.createDataFrame([], "id bigint, class bigint")
     return classes.select("id", "class")
