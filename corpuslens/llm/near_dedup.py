@@ -164,6 +164,36 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[keep, ["a", "b"]]
 
 
+def _shingled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, class, total, shingle, weight) of whole texts."""
+    for frame in chunks(frames):
+        doc, element, weight = weighted_shingles(frame["text"].tolist())
+        columns = {c: frame[c].to_numpy()[doc] for c in ("id", "class", "total")}
+        yield pd.DataFrame(columns | {"shingle": element.view(np.int64), "weight": weight})
+
+
+def _may_link(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members that a member of another class can be alike enough to.
+
+    Linked texts of total weights x and y have SIMILARITY / (1 + SIMILARITY) *
+    (x + y) in common, or more, and y is at least SIMILARITY * x and the least
+    total of the bucket.  So a text leaves a bucket if its shingles that occur
+    in another class too weigh less: it has too many edits of its own.
+    """
+    ids = cut_lineage(members.select("id", "class", "total").distinct(), "open_ids")
+    rows = texts.join(ids, "id").select("id", "class", "total", "text")
+    rows = cut_lineage(rows.mapInPandas(_shingled, "id bigint, class bigint, total bigint, shingle bigint, weight bigint"), "shingles")
+    spread = rows.groupBy("shingle").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).filter("_low != _high")
+    spread = cut_lineage(spread.select("shingle"), "spread")
+    common = rows.join(spread, "shingle").groupBy("id", "total").agg(F.sum("weight").alias("_common"))
+    common = cut_lineage(common.filter(F.col("_common") + 0.001 >= SIMILARITY * F.col("total")).select("id", "_common"), "common")
+    least = cut_lineage(members.groupBy("bucket").agg(F.min("total").alias("_least")), "least")
+    partner = F.greatest(F.col("_least"), SIMILARITY * F.col("total"))
+    # A thousandth of a shingle, so that rounding drops no link.
+    enough = F.col("_common") + 0.001 >= SIMILARITY / (1 + SIMILARITY) * (F.col("total") + partner)
+    return members.join(common, "id").join(least, "bucket").filter(enough).select(*members.columns)
+
+
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, class) of linked texts, from members (bucket, id, total), in rounds.
 
@@ -172,10 +202,13 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
     of one class need no comparison any more, and those with most links so far
     are asked first, because what many texts resemble joins the rest.  The
     rounds end when every bucket is of one class or all its members have been
-    asked; so no link between classes is missed, and no bucket is paired out
-    unless its texts really differ.
+    asked; so no link between classes is missed.  From the second round on,
+    texts that can't have another link go first (``_may_link``), so a bucket of
+    many texts that are a little less alike isn't paired out.
     """
     spark = members.sparkSession
+    texts = texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = cut_lineage(texts, "texts", "zstd")
     links, classes, asked, slices = None, None, None, FIRST_REPRESENTATIVES
     while True:
         if classes is None:
@@ -189,6 +222,7 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
         open_rows = now.join(cut_lineage(mixed.select("bucket"), "open"), "bucket")
         if asked is not None:
             open_rows = open_rows.join(asked.withColumn("_asked", F.lit(True)), ["bucket", "id"], "left").filter("_asked is null").drop("_asked")
+            open_rows = _may_link(cut_lineage(open_rows, "unasked"), texts)
         # A member asked earlier has met all others, so only the rest goes on.
         members = cut_lineage(open_rows.select("bucket", "id", "total", "class", "degree"), "open_rows")
         leaders = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("_slice")).agg(
@@ -205,10 +239,8 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
             .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         )
         pairs = cut_lineage(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        needed = cut_lineage(texts.join(ids, "id", "left_semi"), "texts")
-        both = pairs.join(needed.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = both.join(needed.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         checked = both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
         found = cut_lineage(checked.mapInPandas(_verified, "a bigint, b bigint"), "links")
         if not found.isEmpty():
