@@ -104,6 +104,24 @@ def test_near_duplicates_are_the_connected_texts(make):
     assert {r.doc_id for r in got if r.kept} == set(want.values())
 
 
+def test_near_duplicates_of_many_copies_a_little_less_alike(make, monkeypatch):
+    """One text with one to nine edits a copy: links are found although most texts leave their buckets."""
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = [(n, " ".join(edited(rng, base, n % 9 + 1)), "en", "web") for n in range(240)]
+    gone = []
+
+    def may_link(members, texts, real=near_dedup._may_link):
+        left = real(members, texts)
+        gone.append(members.select("id").distinct().count() - left.select("id").distinct().count())
+        return left
+
+    monkeypatch.setattr(near_dedup, "_may_link", may_link)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(make(rows)).collect()}
+    assert got == brute_classes(rows)
+    assert sum(gone) > 20
+
+
 def test_near_duplicates_of_a_table(spark, documents):
     got = {r.doc_id: r.class_id for r in queries.QUERIES["op1_near_dedup"](spark, SF).collect()}
     assert got == brute_classes(documents)
