@@ -309,16 +309,36 @@ def bootstrap_youden(
     return top.select(*by, "replicate", F.col("_m.at").alias("value"))
 
 
+def _tie_vectors(keys: list[str], n_boot: int):
+    """Blocks of rows to one row of ``keys`` and weight vector per tie of a block."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), BLOCK):
+                rows = frame.iloc[i : i + BLOCK]
+                tie = rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+                order = np.argsort(tie, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(tie[order]) > 0])
+                drawn = _weights(rows["_id"].to_numpy(np.int64)[order], n_boot).astype(np.int32)
+                yield rows.iloc[order[starts]][keys].assign(w=list(np.add.reduceat(drawn, starts, axis=0)))
+
+    return sums
+
+
 def replicate_scores(
     df: DataFrame, ident: str, n_boot: int, y: str = "y", score: str = "score", by: Sequence[str] = ()
 ) -> DataFrame:
-    """(by, replicate, score, y, w): resampled weights, ties combined map-side.
+    """(by, replicate, score, y, w): resampled weights of each distinct score.
 
     Input of pluggable metrics; the AUC and Youden paths above never build it.
+    Each partition is sorted where it is, and ties become one vector of
+    weights before anything is repeated per replicate or shuffled.
     """
-    long = df.select(*by, F.col(score).alias("score"), F.col(y).alias("y"), F.col(ident).alias("_id"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
-    drawn = with_poisson_weight(long, "_id", "replicate")
+    rows = df.select(*by, F.col(score).alias("score"), F.col(y).alias("y"), F.col(ident).alias("_id"))
+    keys = [*by, "score", "y"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    ties = rows.sortWithinPartitions(*keys).mapInPandas(_tie_vectors(keys, n_boot), f"{schema}, w array<int>")
+    drawn = ties.select(*keys, F.posexplode("w").alias("replicate", "w"))
     return drawn.groupBy(*by, "replicate", "score", "y").agg(F.sum("w").alias("w")).filter("w > 0")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corpuslens.functions.numeric import sigmoid
 from corpuslens.operators.sequences import tiles
@@ -17,26 +17,26 @@ def batch_score(
     df: DataFrame,
     features: str,
     make_predict_fn: Callable[[], Callable],
-    n_samples: int = 1,
     batch_size: int = 1024,
     shape: Sequence[int] | None = None,
     ok: Column | None = None,
 ) -> DataFrame:
     """``df`` repeated per stochastic ``sample`` with the model's ``logit``.
 
-    The model function gets (features, sample) arrays.  Rows failing ``ok``
-    are dropped before the model sees them, never scored as zeros; apply every
-    other filter or cap first, because a model call blocks pushdown.
+    The model function gets the features of a batch once and returns an array
+    of (rows, samples), so that what samples share is computed once; rows are
+    repeated on the JVM side afterwards.  Rows failing ``ok`` are dropped
+    before the model sees them, never scored as zeros; apply every other
+    filter or cap first, because a model call blocks pushdown.
     """
     good = df.filter(ok) if ok is not None else df
     scorer = predict_batch_udf(
         make_predict_fn,
-        return_type=DoubleType(),
+        return_type=ArrayType(DoubleType()),
         batch_size=batch_size,
-        input_tensor_shapes=[list(shape) if shape else None, None],
+        input_tensor_shapes=[list(shape)] if shape else None,
     )
-    rows = good.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    return rows.withColumn("logit", scorer(F.col(features), F.col("sample").cast("double")))
+    return good.select("*", F.posexplode(scorer(F.col(features))).alias("sample", "logit"))
 
 
 def sample_rollup(df: DataFrame, keys: Sequence[str], logit: str = "logit") -> DataFrame:

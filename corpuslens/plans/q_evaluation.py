@@ -303,6 +303,9 @@ def mc_rollup(t):
     return out.select("clip", "head", "y", rounded("mean_logit").alias("mean_logit"), rounded("std_prob").alias("std_prob"))
 
 
+SQL_STEPS = 16
+
+
 def temperature_sql(src: str, steps: int) -> str:
     """Newton on 1 / T as a chain of aggregates, one CTE per step."""
     parts = [
@@ -330,7 +333,7 @@ TEMP_SRC = """SELECT 'raw' AS head, logit, y FROM scored
 @query(
     "temperature",
     f"""SELECT head, CASE WHEN t > 0.05 AND t < 20 THEN round(t, 6) ELSE 1.0 END AS temperature
-        FROM ({temperature_sql(TEMP_SRC, C.STEPS)})""",
+        FROM ({temperature_sql(TEMP_SRC, SQL_STEPS)})""",
 )
 def temperature(t):
     s = t.scored
@@ -389,7 +392,7 @@ def ci_sql(src: str, n_boot: int, by: str = "") -> str:
                FROM ({boot_auc_sql(src, n_boot, by)}) WHERE value IS NOT NULL {tail}"""
 
 
-BOOT_TIES, BOOT_EVENTS, BOOT_THR = 200, 500, 200
+BOOT_CI, BOOT_THR = 2000, 200
 
 
 def boot_id():
@@ -398,13 +401,13 @@ def boot_id():
 
 @query(
     "bootstrap_ci",
-    f"""SELECT 'ties' AS name, round(lo, 9) AS lo, round(hi, 9) AS hi, n_valid::BIGINT AS n_valid FROM ({ci_sql('scored_ties', BOOT_TIES)})
-        UNION ALL SELECT 'events', round(lo, 9), round(hi, 9), n_valid::BIGINT FROM ({ci_sql('scored', BOOT_EVENTS)})""",
+    f"""SELECT 'ties' AS name, round(lo, 9) AS lo, round(hi, 9) AS hi, n_valid::BIGINT AS n_valid FROM ({ci_sql('scored_ties', BOOT_CI)})
+        UNION ALL SELECT 'events', round(lo, 9), round(hi, 9), n_valid::BIGINT FROM ({ci_sql('scored', BOOT_CI)})""",
 )
 def bootstrap_ci(t):
     parts = []
-    for name, src, n in (("ties", t.scored_ties, BOOT_TIES), ("events", t.scored, BOOT_EVENTS)):
-        ci = B.bootstrap_ci(src.withColumn("_id", boot_id()), "_id", n)
+    for name, src in (("ties", t.scored_ties), ("events", t.scored)):
+        ci = B.bootstrap_ci(src.withColumn("_id", boot_id()), "_id", BOOT_CI)
         parts.append(ci.select(F.lit(name).alias("name"), rounded("lo", 9).alias("lo"), rounded("hi", 9).alias("hi"), "n_valid"))
     return parts[0].unionByName(parts[1])
 
@@ -413,7 +416,7 @@ def bootstrap_ci(t):
     "bootstrap_metric",
     f"""SELECT replicate::INT AS replicate, round((sum(w * (y = (score >= 0.05)::INT)::INT * (1 - y))::DOUBLE / sum(w * (1 - y))
                 + sum(w * (y = (score >= 0.05)::INT)::INT * y)::DOUBLE / sum(w * y)) / 2, 9) AS value
-        FROM ({weights_sql('scored_ties', 20)}) GROUP BY replicate""",
+        FROM ({weights_sql('scored_ties', BOOT_CI)}) GROUP BY replicate""",
 )
 def bootstrap_metric(t):
     def balanced(weighted, groups):
@@ -424,7 +427,7 @@ def bootstrap_metric(t):
         return weighted.groupBy(*groups).agg(((recall[0] + recall[1]) / 2).alias("value"))
 
     src = t.scored_ties.withColumn("_id", boot_id())
-    return B.bootstrap_metric(src, "_id", balanced, 20).select("replicate", rounded("value", 9).alias("value"))
+    return B.bootstrap_metric(src, "_id", balanced, BOOT_CI).select("replicate", rounded("value", 9).alias("value"))
 
 
 @query(
@@ -446,12 +449,11 @@ def bootstrap_threshold(t):
 
 HEADED = """SELECT id, split, y, CASE id % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'audio' ELSE 'fusion' END AS head,
                    logit + CASE WHEN id % 3 = 0 THEN 2.0::DOUBLE * y ELSE 0.0::DOUBLE END AS logit FROM split_scored"""
-CAL_BOOT, REPORT_BOOT = 100, 200
 CAL_SQL = f"""
-    t AS (SELECT head, CASE WHEN t > 0.05 AND t < 20 THEN t ELSE 1.0 END AS temp FROM ({temperature_sql("SELECT * FROM hv", C.STEPS)})),
+    t AS (SELECT head, CASE WHEN t > 0.05 AND t < 20 THEN t ELSE 1.0 END AS temp FROM ({temperature_sql("SELECT * FROM hv", SQL_STEPS)})),
     pv AS (SELECT hv.id, hv.head, hv.y, 1.0 / (1.0 + exp(-(hv.logit / t.temp))) AS score FROM hv JOIN t USING (head)),
     cw AS (SELECT head, replicate, score, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg
-           FROM ({weights_sql('pv', CAL_BOOT)}) GROUP BY 1, 2, 3 HAVING sum(w) > 0),
+           FROM ({weights_sql('pv', BOOT_THR)}) GROUP BY 1, 2, 3 HAVING sum(w) > 0),
     jw AS (SELECT head, replicate, score, sum(pos) OVER (PARTITION BY head, replicate ORDER BY score DESC) / sum(pos) OVER (PARTITION BY head, replicate)
              - sum(neg) OVER (PARTITION BY head, replicate ORDER BY score DESC) / sum(neg) OVER (PARTITION BY head, replicate) AS j FROM cw),
     thr AS (SELECT head, quantile_cont(thr, 0.5) AS threshold FROM (SELECT head, replicate, arg_max(score, (j, score)) AS thr FROM jw GROUP BY 1, 2) GROUP BY 1),
@@ -468,7 +470,7 @@ def _headed(t):
 def _calibration(t):
     from corpuslens.operators.evaluation import calibrate
 
-    return calibrate(_headed(t).filter("split = 'val'"), "_id", n_boot=CAL_BOOT)
+    return calibrate(_headed(t).filter("split = 'val'"), "_id", n_boot=BOOT_THR)
 
 
 @query(
@@ -485,7 +487,7 @@ def calibration_fit(t):
     s AS (SELECT h.id, h.head, h.y, 1.0 / (1.0 + exp(-(h.logit / t.temp))) AS score, thr.threshold FROM h JOIN t USING (head) JOIN thr USING (head) WHERE h.split = 'test'),
     b AS (SELECT head, count(*) AS n, avg(((score >= threshold)::INT = y)::INT) AS acc FROM s GROUP BY head),
     a AS (SELECT head, {AUC_EXPR} AS auc FROM ({auc_ranks('s', 'head')})),
-    c AS ({ci_sql('s', REPORT_BOOT, 'head')}),
+    c AS ({ci_sql('s', BOOT_CI, 'head')}),
     e AS (SELECT head, sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM (
             SELECT head, {_bin_sql(15)} AS bin, count(*) AS n, avg(conf) AS confidence, avg(ok) AS accuracy
             FROM (SELECT head, greatest(score, 1.0::DOUBLE - score) AS conf, ((score >= 0.5)::INT = y)::INT::DOUBLE AS ok FROM s) GROUP BY 1, 2) GROUP BY head)
@@ -498,5 +500,5 @@ def held_out_report(t):
     from corpuslens.session import cut_lineage
 
     cal = cut_lineage(_calibration(t), "calibration")  # one row per head
-    out = report(_headed(t).filter("split = 'test'"), cal, "_id", n_boot=REPORT_BOOT)
+    out = report(_headed(t).filter("split = 'test'"), cal, "_id", n_boot=BOOT_CI)
     return out.select("head", "n", *[rounded(c).alias(c) for c in ("auc", "lo", "hi", "ece", "acc")], "reportable")

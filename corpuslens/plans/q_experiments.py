@@ -7,9 +7,7 @@ from corpuslens.operators import bootstrap as B
 from corpuslens.operators import experiments as E
 from corpuslens.operators import metrics as M
 from corpuslens.plans.catalog import query
-from corpuslens.plans.q_evaluation import AUC_EXPR, auc_ranks, boot_id, ci_sql
-
-N_BOOT = 300
+from corpuslens.plans.q_evaluation import AUC_EXPR, BOOT_CI, auc_ranks, boot_id, ci_sql
 
 
 @query(
@@ -116,11 +114,11 @@ def dataset_report(t):
 REPORT = f"""
     SELECT b.dataset, b.n, a.auc, c.lo, c.hi, b.acc FROM (SELECT dataset, count(*) AS n, avg(((score >= 100)::INT = y)::INT) AS acc FROM scored GROUP BY dataset) b
     JOIN (SELECT dataset, {AUC_EXPR} AS auc FROM ({auc_ranks('scored', 'dataset')})) a USING (dataset)
-    LEFT JOIN ({ci_sql('scored', N_BOOT, 'dataset')}) c USING (dataset)"""
+    LEFT JOIN ({ci_sql('scored', BOOT_CI, 'dataset')}) c USING (dataset)"""
 
 
 def report(t):
-    return E.dataset_report(t.scored.withColumn("_id", boot_id()), "_id", 100.0, n_boot=N_BOOT)
+    return E.dataset_report(t.scored.withColumn("_id", boot_id()), "_id", 100.0, n_boot=BOOT_CI)
 
 
 @query(
@@ -135,12 +133,12 @@ def leaderboard(t):
 
 @query(
     "ci_overlap",
-    f"""WITH r AS ({ci_sql('scored', 100, 'grp')}), z AS (SELECT min(grp) AS base FROM r)
+    f"""WITH r AS ({ci_sql('scored', BOOT_CI, 'grp')}), z AS (SELECT min(grp) AS base FROM r)
         SELECT a.grp, (SELECT count(*) FROM r b WHERE b.grp <> a.grp AND b.lo <= a.hi AND a.lo <= b.hi)::BIGINT AS n_overlaps,
                (SELECT (a.lo <= b.hi AND b.lo <= a.hi)::INT FROM r b, z WHERE b.grp = z.base) AS meets_baseline FROM r a""",
 )
 def ci_overlap(t):
-    ci = B.bootstrap_ci(t.scored.withColumn("_id", boot_id()), "_id", 100, by=["grp"])
+    ci = B.bootstrap_ci(t.scored.withColumn("_id", boot_id()), "_id", BOOT_CI, by=["grp"])
     base = t.scored.agg(F.min("grp")).scalar()
     named = ci.withColumn("_base", base).withColumn("name", F.when(F.col("grp") == F.col("_base"), "base").otherwise("other"))
     return E.ci_overlap(named, "name", "lo", "hi", "base").select("grp", "n_overlaps", "meets_baseline")
