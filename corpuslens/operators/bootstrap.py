@@ -88,11 +88,13 @@ def _tie_blocks(score: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
 
 def _tie_sums(y: np.ndarray, ident: np.ndarray, starts: np.ndarray, n_boot: int) -> tuple[np.ndarray, np.ndarray]:
     """Positive and negative weight per tie group; sums are small and exact."""
-    w = _weights(ident, n_boot).astype(np.float32)
     sign = np.stack([y == 1, y == 0]).astype(np.float32)
-    if len(starts) == 1:
-        p, n = sign @ w
-        return p[None, :].astype(float), n[None, :].astype(float)
+    if len(starts) == 1:  # may be longer than a block: its weights are drawn a block at a time
+        both = np.zeros((2, n_boot))
+        for i in range(0, len(y), BLOCK):
+            both += sign[:, i : i + BLOCK] @ _weights(ident[i : i + BLOCK], n_boot).astype(np.float32)
+        return both[:1], both[1:]
+    w = _weights(ident, n_boot).astype(np.float32)
     p, n = w * sign[0][:, None], w * sign[1][:, None]
     if len(starts) < len(y):
         ends = np.append(starts[1:], len(y)) - 1
