@@ -57,9 +57,10 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def _windows(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
     """(id, key, item, at, words): item-sized windows that have enough of the item's shingles.
 
-    With ``m`` shingles a window as similar as asked has 2 m s / (1 + s) in
-    common with the item, and as words go in and out of a passage its shingles
-    move by less than an eighth of its length.  So windows start up to that far
+    A document shorter than the item is one window.  A window as similar as
+    asked has s / (1 + s) of both totals of shingles in common with the item,
+    and as words go in and out of a passage its shingles move by less than an
+    eighth of its length.  So windows start up to that far
     from where a shared shingle has its place in the item, and those with too
     few shared shingles get no fingerprint.  ``items`` is a block of bounded
     size and goes to all tasks; texts are read once, and only windows leave the
@@ -75,13 +76,14 @@ def _windows(docs: DataFrame, items: DataFrame, size: int, similarity: float) ->
     met = places.withColumn("_h", run).join(F.broadcast(wanted), "_h")
     at, most = F.col("_i") - F.col("_q"), F.size("words") - F.col("n")
     far = F.floor(F.col("n") / 8).cast("int")
-    low, high = F.greatest(F.lit(0), at - far), F.least(most, at + far)
+    low = F.when(most < 0, 0).otherwise(F.greatest(F.lit(0), at - far))
+    high = F.when(most < 0, 0).otherwise(F.least(most, at + far))
     moved = met.filter(low <= high).select("id", "key", "item", "n", "words", F.explode(F.sequence(low, high)).alias("at"))
-    m = F.col("n") - size + 1
+    both = F.col("n") + F.size("words") - 2 * size + 2
     return (
         moved.select("id", "key", "item", "n", "at", F.slice(F.col("words"), F.col("at") + 1, F.col("n")).alias("words"))
         .groupBy("id", "key", "item", "n", "at").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("_met"))
-        .filter(F.col("_met") >= F.ceil(2 * m * similarity / (1 + similarity) - 1e-9)).drop("n", "_met")
+        .filter(F.col("_met") >= F.ceil(both * similarity / (1 + similarity) - 1e-9)).drop("n", "_met")
     )
 
 
@@ -93,8 +95,8 @@ def matches(
     Words are lower-cased runs of letters and digits; shingles have five words,
     an item of fewer words is one shingle; weights are numbers of occurrences,
     and the similarity of a window and an item is the sum of the lesser weights
-    over the sum of the greater ones.  A window is as long as its item; see
-    ``_windows`` for where it may start.  Its fingerprint must lie within RADIUS of the item's; blocks of bits find all such pairs.
+    over the sum of the greater ones.  A window is as long as its item, or
+    the whole of a shorter document; see ``_windows`` for where it may start.  Its fingerprint must lie within RADIUS of the item's; blocks of bits find all such pairs.
 
     Null and wordless texts and items match nothing; a null doc_id is kept as
     null; ``key`` is a hash of the text, for tables where doc_ids repeat; equal

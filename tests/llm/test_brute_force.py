@@ -309,6 +309,38 @@ def test_decontamination_of_edited_passages(spark, make):
     assert {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {d for d, _ in got}
 
 
+def brute_windows(documents, items):
+    """Like ``brute_matches``, where a document shorter than an item is one window."""
+    out = brute_matches(documents, items)
+    for doc_id, text, *_ in documents:
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        for item_id, item in items:
+            b = re.findall(r"[^\W_]+", (item or "").lower())
+            size = min(5, len(b))
+            if len(w) < len(b):
+                whole, want = (Counter(tuple(x[i : i + size]) for i in range(len(x) - size + 1)) for x in (w, b))
+                if whole and (like := near_dedup.weighted_similarity(whole, want)) >= 0.8:
+                    out[doc_id, item_id] = like
+    return out
+
+
+def test_decontamination_of_documents_shorter_than_an_item(spark, make):
+    rng = random.Random(3)
+    items = [(n, " ".join(f"v{rng.randrange(400)}" for _ in range(n))) for n in (2, 5, 15, 59, 250)]
+    rows = []
+    for n, text in items:
+        w = text.split()
+        cut = {k for k in (1, 2, 3, n // 9, n // 6, n // 5, n // 4) if 0 < k < n}
+        short = [w[k:] for k in cut] + [w[:-k] for k in cut] + [w[: n // 2] + w[n // 2 + 1 :], w[: n // 2]]
+        rows += [(len(rows) + i, " ".join(x), "en", "s") for i, x in enumerate(short)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_windows(rows, items)
+    assert len(want) >= 25 and not brute_matches(rows, items)
+    assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in decontamination.matches(make(rows), bench).collect()} == want
+    left = decontamination.decontaminated(make(rows), bench)
+    assert {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {d for d, _ in want}
+
+
 # --- op6
 
 
