@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash of item-sized windows and a multi-index over Hamming blocks."""
+"""Benchmark decontamination by the exact weighted similarity of item-sized windows, with their SimHash distance."""
 
 from __future__ import annotations
 
@@ -10,12 +10,8 @@ from corpuslens.session import cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 20  # of 64 bits; windows 0.8 alike are 10 bits apart on average, with a deviation of 3
 BLOCK_SHINGLES = 250_000  # shingles of items sent to all tasks at once
 
-_STEPS = [round(i * 64 / (RADIUS + 1)) for i in range(RADIUS + 2)]  # limits of RADIUS + 1 blocks of bits
-
-
 def _words(text: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
@@ -27,64 +23,92 @@ def _shingles(words: str, size: int) -> Column:
     return F.when(n > 0, runs).otherwise(F.array().cast("array<string>"))
 
 
-def _weighted(rows: DataFrame, by: list[str], size: int) -> DataFrame:
-    """(by, shingle, weight): the weight of a shingle is its number of occurrences."""
-    parts = rows.select(*by, F.explode(_shingles("words", size)).alias("shingle"))
-    return parts.groupBy(*by, "shingle").agg(F.count(F.lit(1)).alias("weight"))
-
-
-def _fingerprints(weighted: DataFrame, by: list[str]) -> DataFrame:
-    """(by, print, total): bit b is set if the weights of shingles with bit b outweigh the others."""
-    h = weighted.withColumn("_h", F.xxhash64("shingle"))
-    signed = [
-        F.sum(F.when(F.shiftrightunsigned("_h", b).bitwiseAND(F.lit(1)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"_b{b}")
-        for b in range(64)
-    ]
-    sums = h.groupBy(*by).agg(F.sum("weight").alias("total"), *signed)
+def _fingerprints(rows: DataFrame, by: list[str], size: int) -> DataFrame:
+    """(by, print): bit b is set if more of the shingles of ``words`` have bit b than not."""
+    h = rows.select(*by, F.explode(_shingles("words", size)).alias("_shingle")).withColumn("_h", F.xxhash64("_shingle"))
+    signed = [F.sum(F.shiftrightunsigned("_h", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"_b{b}") for b in range(64)]
+    sums = h.groupBy(*by).agg(*signed)
     bits = F.array(*[F.when(F.col(f"_b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(64)])
-    return sums.select(*by, "total", F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x)).alias("print"))
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """A row per block of the fingerprint; prints within RADIUS agree in one block at least."""
-    parts = [
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value"))
-        for i, (a, b) in enumerate(zip(_STEPS, _STEPS[1:], strict=False))
-    ]
-    return rows.withColumn("_block", F.explode(F.array(*parts))).select("*", "_block.block", "_block.value").drop("_block")
+    return sums.select(*by, F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x)).alias("print"))
 
 
-def _windows(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(id, key, item, at, words): item-sized windows that have enough of the item's shingles.
+def _best_windows(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, key, item, at, similarity): the best window of a document for each item it holds.
 
-    A document shorter than the item is one window.  A window as similar as
-    asked has s / (1 + s) of both totals of shingles in common with the item,
-    and as words go in and out of a passage its shingles move by less than an
-    eighth of its length.  So windows start up to that far
-    from where a shared shingle has its place in the item, and those with too
-    few shared shingles get no fingerprint.  ``items`` is a block of bounded
-    size and goes to all tasks; texts are read once, and only windows leave the
-    scan.
+    Shingles of documents meet those of ``items``, a block of bounded size that
+    goes to all tasks, by 64-bit hash.  Of a shingle with weight w in the item,
+    the first w places in a window count; so a place counts for the windows
+    that reach it and start after the place w before it: a run of ``at``.
+    Where most runs overlap is the best window.  All windows are compared, each
+    exactly, and the work is that of sorting the places met.
     """
-    n = F.size("words") - size + 1
-    places = docs.filter(n > 0).select("id", "key", "words", F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
-    run = F.xxhash64(*[F.get(F.col("words"), F.col("_i") + j) for j in range(size)])
-    parts = items.select("item", "n", "words", F.posexplode(F.sequence(F.lit(0), F.col("n") - size)).alias("_q", "_p"))
-    wanted = parts.select(
-        "item", "n", "_q", F.xxhash64(*[F.get(F.col("words"), F.col("_q") + j) for j in range(size)]).alias("_h")
+    length = F.size("words")
+    places = docs.filter(length >= size).select(
+        "id", "key", "words", length.alias("length"), F.explode(F.sequence(F.lit(0), length - size)).alias("_i")
     )
-    met = places.withColumn("_h", run).join(F.broadcast(wanted), "_h")
-    at, most = F.col("_i") - F.col("_q"), F.size("words") - F.col("n")
-    far = F.floor(F.col("n") / 8).cast("int")
-    low = F.when(most < 0, 0).otherwise(F.greatest(F.lit(0), at - far))
-    high = F.when(most < 0, 0).otherwise(F.least(most, at + far))
-    moved = met.filter(low <= high).select("id", "key", "item", "n", "words", F.explode(F.sequence(low, high)).alias("at"))
-    both = F.col("n") + F.size("words") - 2 * size + 2
-    return (
-        moved.select("id", "key", "item", "n", "at", F.slice(F.col("words"), F.col("at") + 1, F.col("n")).alias("words"))
-        .groupBy("id", "key", "item", "n", "at").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("_met"))
-        .filter(F.col("_met") >= F.ceil(both * similarity / (1 + similarity) - 1e-9)).drop("n", "_met")
+    run = F.xxhash64(*[F.get(F.col("words"), F.col("_i") + j) for j in range(size)])
+    places = places.select("id", "key", "length", "_i", run.alias("_h"))
+    parts = items.select("item", "n", "words", F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("_q"))
+    wanted = parts.select("item", "n", F.xxhash64(*[F.get(F.col("words"), F.col("_q") + j) for j in range(size)]).alias("_h"))
+    wanted = wanted.groupBy("item", "n", "_h").agg(F.count(F.lit(1)).cast("int").alias("_w"))
+    met = places.join(F.broadcast(wanted), "_h").groupBy("id", "key", "length", "item", "n").agg(
+        F.collect_set(F.struct("_h", "_i", "_w")).alias("_places")  # a set, as equal rows are one document
     )
+    width = F.least("n", "length")
+    totals = F.col("n") + width - 2 * size + 2
+    enough = met.filter(F.size("_places") >= F.ceil(totals * similarity / (1 + similarity) - 1e-9))
+    placed = enough.withColumn("_places", F.sort_array("_places"))
+
+    def interval(x: Column, k: Column) -> Column:
+        before = F.get(F.col("_places"), k - x["_w"])  # null if out of the array
+        after = F.when(before["_h"] == x["_h"], before["_i"] + 1).otherwise(0)
+        low = F.greatest(F.lit(0), after, x["_i"] - (width - size))
+        return F.struct(low.alias("low"), F.least(x["_i"], F.col("length") - width).alias("high"))
+
+    runs = placed.select("id", "key", "item", totals.alias("_totals"), F.transform("_places", interval).alias("_runs"))
+    ends = runs.withColumn("_runs", F.filter("_runs", lambda r: r["low"] <= r["high"])).withColumn("_ends", F.sort_array(F.concat(
+        F.transform("_runs", lambda r: F.struct(r["low"].alias("at"), F.lit(1).alias("step"))),
+        F.transform("_runs", lambda r: F.struct((r["high"] + 1).alias("at"), F.lit(-1).alias("step"))),
+    )))
+
+    def sweep(a: Column, e: Column) -> Column:
+        now = a["now"] + e["step"]
+        more = now > a["common"]
+        return F.struct(
+            now.alias("now"), F.when(more, now).otherwise(a["common"]).alias("common"), F.when(more, e["at"]).otherwise(a["at"]).alias("at")
+        )
+
+    none = F.struct(F.lit(0).alias("now"), F.lit(0).alias("common"), F.lit(0).alias("at"))
+    top = ends.select("id", "key", "item", "_totals", F.aggregate("_ends", none, sweep).alias("_top"))
+    like = F.col("_top.common") / (F.col("_totals") - F.col("_top.common"))
+    return top.select("id", "key", "item", F.col("_top.at").alias("at"), like.alias("similarity")).filter(F.col("similarity") >= similarity)
+
+
+def _itemized(benchmark: DataFrame, block_shingles: int) -> tuple[DataFrame, int]:
+    """(item_id, words, n, item, size, block_no), and the number of blocks."""
+    items = benchmark.select("item_id", _words().alias("words")).withColumn("n", F.size("words")).filter("n > 0")
+    # An item_id with several texts is as many items.
+    items = items.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
+    items = items.withColumn("size", F.least(F.lit(SHINGLE), F.col("n")))
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum(F.col("n")) / F.lit(block_shingles)))
+    n_blocks = items.agg(blocks).first()[0] or 1
+    return cut_lineage(items.withColumn("block_no", F.pmod(F.xxhash64("item"), F.lit(n_blocks))), "items"), n_blocks
+
+
+def _sizes(items: DataFrame) -> list[int]:
+    return sorted(r[0] for r in items.select("size").distinct().limit(SHINGLE).collect())
+
+
+def _found(docs: DataFrame, items: DataFrame, n_blocks: int, similarity: float) -> DataFrame | None:
+    """``_best_windows`` of all items; None if there are no items."""
+    worded = identified(docs).select("id", "key", _words().alias("words"))
+    found = None
+    for size in _sizes(items):
+        sized = items.filter(F.col("size") == size)
+        for block in range(n_blocks):
+            part = _best_windows(worded, sized.filter(F.col("block_no") == block), size, similarity)
+            found = part if found is None else found.unionByName(part)
+    return found
 
 
 def matches(
@@ -95,8 +119,10 @@ def matches(
     Words are lower-cased runs of letters and digits; shingles have five words,
     an item of fewer words is one shingle; weights are numbers of occurrences,
     and the similarity of a window and an item is the sum of the lesser weights
-    over the sum of the greater ones.  A window is as long as its item, or
-    the whole of a shorter document; see ``_windows`` for where it may start.  Its fingerprint must lie within RADIUS of the item's; blocks of bits find all such pairs.
+    over the sum of the greater ones.  A window is as long as its item, or the
+    whole of a shorter document, and may start anywhere; see ``_best_windows``
+    for the search.  ``distance`` is the Hamming distance of the SimHash
+    fingerprints of the window and the item; it decides nothing.
 
     Null and wordless texts and items match nothing; a null doc_id is kept as
     null; ``key`` is a hash of the text, for tables where doc_ids repeat; equal
@@ -104,58 +130,32 @@ def matches(
     of any size: it is taken in blocks of at most ``block_shingles`` shingles
     (one item at least), each of which is sent to all tasks.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", _words().alias("words")).withColumn("n", F.size("words")).filter("n > 0")
-    # An item_id with several texts is as many items.
-    items = items.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
-    items = items.withColumn("size", F.least(F.lit(SHINGLE), F.col("n")))
-    blocks = F.greatest(F.lit(1), F.ceil(F.sum(F.col("n")) / F.lit(block_shingles)))
-    n_blocks = items.agg(blocks).first()[0] or 1
-    items = cut_lineage(items.withColumn("block_no", F.pmod(F.xxhash64("item"), F.lit(n_blocks))), "items")
-    sizes = sorted(r[0] for r in items.select("size").distinct().limit(SHINGLE).collect())
-    worded = identified(docs).select("id", "key", _words().alias("words"))
-    found = None
-    for size in sizes:
-        sized = items.filter(F.col("size") == size)
-        for block in range(n_blocks):
-            part = _windows(worded, sized.filter(F.col("block_no") == block), size, similarity)
-            part = part.withColumn("size", F.lit(size))
-            found = part if found is None else found.unionByName(part)
+    items, n_blocks = _itemized(benchmark, block_shingles)
+    found = _found(docs, items, n_blocks, similarity)
     if found is None:
-        return spark.createDataFrame([], "doc_id bigint, key bigint, item_id bigint, at int, distance int, similarity double")
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, key bigint, item_id bigint, at int, distance int, similarity double")
     found = cut_lineage(found, "windows")
+    texts = identified(docs).join(found, ["id", "key"])
     out = None
-    for size in sizes:
-        by = ["id", "key", "item", "at"]
-        window_weights = _weighted(found.filter(F.col("size") == size), by, size)
-        item_weights = _weighted(items.filter(F.col("size") == size), ["item"], size)
-        prints = _blocks(_fingerprints(window_weights, by))
-        index = _blocks(_fingerprints(item_weights, ["item"])).withColumnsRenamed({"print": "_print", "total": "_total"})
-        near = (
-            prints.join(index, ["item", "block", "value"])
-            .select(*by, "total", "_total", F.bit_count(F.col("print").bitwiseXOR(F.col("_print"))).alias("distance"))
-            .filter(F.col("distance") <= RADIUS).distinct()
-        )
-        shared = (
-            window_weights.join(item_weights.withColumnRenamed("weight", "_weight"), ["item", "shingle"])
-            .groupBy(*by).agg(F.sum(F.least("weight", "_weight")).alias("_common"))
-        )
-        like = near.join(shared, by).withColumn("similarity", F.col("_common") / (F.col("total") + F.col("_total") - F.col("_common")))
-        like = like.filter(F.col("similarity") >= similarity).select(*by, "distance", "similarity")
-        out = like if out is None else out.unionByName(like)
-    best = out.groupBy("id", "key", "item").agg(
-        F.max(F.struct(F.col("similarity"), (-F.col("at")).alias("at"), (-F.col("distance")).alias("distance"))).alias("_best")
-    )
-    return best.join(items.select("item", "item_id"), "item").select(
-        F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "key", "item_id", (-F.col("_best.at")).alias("at"),
-        (-F.col("_best.distance")).alias("distance"), F.col("_best.similarity").alias("similarity"),
+    for size in _sizes(items):
+        prints = _fingerprints(items.filter(F.col("size") == size), ["item", "item_id", "n"], size).withColumnRenamed("print", "_print")
+        held = texts.join(prints, "item")
+        held = held.withColumn("words", F.slice(_words(), F.col("at") + 1, F.col("n")))
+        # Equal rows of documents add up to the same signs.
+        part = _fingerprints(held, ["id", "key", "item", "item_id", "at", "similarity", "_print"], size)
+        out = part if out is None else out.unionByName(part)
+    return out.select(
+        F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "key", "item_id", "at",
+        F.bit_count(F.col("print").bitwiseXOR(F.col("_print"))).alias("distance"), "similarity",
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item of the benchmark, with their own columns."""
-    bad = matches(docs, benchmark).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
-    bad = cut_lineage(bad, "contaminated")
+    found = _found(docs, *_itemized(benchmark, BLOCK_SHINGLES), SIMILARITY)
+    if found is None:
+        return docs
+    bad = cut_lineage(found.select(F.col("id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct(), "contaminated")
     given = [F.col(f"_given.{c}") for c in docs.columns]
     packed = docs.select(
         F.struct(*docs.columns).alias("_given"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_id"), F.xxhash64("text").alias("_key")

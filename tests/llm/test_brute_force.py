@@ -341,6 +341,35 @@ def test_decontamination_of_documents_shorter_than_an_item(spark, make):
     assert {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {d for d, _ in want}
 
 
+def test_decontamination_of_reordered_passages(spark, make):
+    rng = random.Random(8)
+    items = [(n, " ".join(f"v{rng.randrange(400)}" for _ in range(n))) for n in (50, 59, 120, 250)]
+    items += [(7, "a b a b a b a b a b a b a b a b a b a b c"), (8, " ".join(["so it goes on and"] * 6))]
+    rows = []
+    for n, text in items[:4]:
+        w = text.split()
+        for cut in (n // 2, n // 3, n // 7, 5):
+            for moved in (w[cut:] + w[:cut], [*w[cut:], "x", *w[:cut]]):
+                for k in (0, 9):
+                    rows.append((len(rows), " ".join(["out"] * k + moved + ["end"] * k), "en", "s"))
+        rows.append((len(rows), " ".join(w + w[n // 2 :] + w[: n // 2]), "en", "s"))
+    # Repeated shingles count as often as the item has them.
+    for k in (4, 8, 9, 10, 11, 30):
+        rows += [(len(rows), "z y " + "a b " * k + "c", "en", "s"), (len(rows) + 1, "so it goes on and " * k, "en", "s")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_windows(rows, items)
+    assert {0, 17, 34, 51} <= {d for d, _ in want}
+    rows_of_table = make(rows + rows[:3])
+    got = decontamination.matches(rows_of_table, bench).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in got} == want
+    texts = {r[0]: r[1].split() for r in rows}
+    for r in got:  # the first of the best windows
+        b = dict(items)[r.item_id].split()
+        like = [near_dedup.weighted_similarity(*(Counter(zip(*(x[j:] for j in range(5)), strict=False)) for x in (texts[r.doc_id][i : i + len(b)], b)))
+                for i in range(max(1, len(texts[r.doc_id]) - len(b) + 1))]
+        assert r.at == like.index(max(like))
+
+
 # --- op6
 
 
