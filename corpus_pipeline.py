@@ -14,14 +14,16 @@ from corpuslens.llm.token_files import token_digest
 from corpuslens.session import cut_lineage
 
 TOKENIZER = "byte_bpe_50k.json"
-LEAST_SCORE = 0.05  # of a text in a language that was learned; texts in other scripts are near 0
+#: Of a text in a language that was learned: on sf0.1 all 10,000 documents have 0.396 at least, noise in Latin letters and other
+#: Latin-script languages 0.28 at most from 150 characters on, and texts in other scripts are near 0.
+LEAST_SCORE = 0.35
 
 #: Profiles and hash-seeded files have no SQL; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus names: texts without letters or like no profile go, nulls too."""
+    """Documents in a language that the corpus names: texts without letters, noise and other languages go, nulls too."""
     profiles = learned(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     packed = docs.select(F.struct(*docs.columns).alias("_given"), F.col("text").alias("_text"))
     scored = identify(packed, profiles, "_text", "_")

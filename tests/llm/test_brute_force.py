@@ -1,5 +1,6 @@
 """Each operator against a plain version over whole tables or small fixtures."""
 
+import base64
 import random
 import re
 import zlib
@@ -551,3 +552,22 @@ def test_pipeline_stage_by_stage(spark):
         else:
             assert after == Counter({r.doc_id: r.copies for r in mixing.mixture(docs).collect() if r.copies})
         docs = spark.createDataFrame(rows, docs.schema)
+
+
+def test_language_stage_drops_noise_and_unlearned_languages(spark, documents):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    other = [
+        "".join(rng.choice(letters) for _ in range(1500)),
+        " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 10))) for _ in range(300)),
+        base64.b64encode(rng.randbytes(1500)).decode(),
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Semua orang dilahirkan merdeka dan mempunyai martabat dan hak-hak yang sama. Mereka dikaruniai akal dan hati nurani dan hendaknya bergaul satu sama lain dalam semangat persaudaraan.",
+    ]
+    clean = [d for d in documents if re.search(r"[^\W\d_]", d[1] or "")]
+    short = [(-100 - i, " ".join(d[1].split()[:8]), None, "s") for i, d in enumerate(clean[:60])]
+    rows = documents + short + [(-1 - i, t, None, "s") for i, t in enumerate(other)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()}
+    assert got == {d[0] for d in clean} | {d[0] for d in short}
