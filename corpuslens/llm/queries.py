@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuslens.llm import (
-    decontamination, language_id, license_scan, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_count, token_files,
+    decontamination, filter_audit, language_id, license_scan, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_count,
+    token_files, warc, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": _of_documents(lambda d: token_count.token_counts(d, public_tokenizers.path(PIECES))),
     "op9_quality_rules": _of_documents(quality_rules.quality),
     "op10_language_id": _of_documents(language_id.languages),
+    "op11_warc": lambda spark, sf_dir: warc.archive_digest(table(spark, sf_dir, "pages")).drop("target_uri"),
+    "op12_whitening": lambda spark, sf_dir: whitening.whitened(table(spark, sf_dir, "embeddings")),
+    "op13_filter_audit": lambda spark, sf_dir: filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -126,7 +130,72 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND broken = '' AS kept, broken FROM b
 """
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_FIVE_BITS = " || ".join(
+    f"substr('{_BASE32}', 1 + (('0x' || substr(h, {5 * (k // 4) + 1}, 5))::INTEGER >> {15 - 5 * (k % 4)}) % 32, 1)" for k in range(32)
+)
+
+_WARC = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), n AS (
+  SELECT html, max(page_id) AS newest FROM p GROUP BY html
+), r AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_FIVE_BITS} AS payload_digest,
+         CASE WHEN newest > coalesce(page_id, -9223372036854775808) THEN newest END AS refers_to
+  FROM p JOIN n USING (html)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
+
+_FAILS = " + ".join(f"(fail_{c})::INTEGER * {1 << i}" for i, c in enumerate(filter_audit.FILTERS))
+
+_FILTER_AUDIT = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, {_WORDS} AS words FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS first_id FROM d GROUP BY text
+), l AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)::INTEGER) AS good, max(coalesce(toxic = 1, false)::INTEGER) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         len(words) < 200 AS fail_A, 100 * len(list_distinct(words)) < 50 * len(words) AS fail_B,
+         100 * len(regexp_extract_all(d.text, '[A-Z]')) > 2 * length(d.text) AS fail_C,
+         regexp_matches(d.text, '[#$%&*|]') AS fail_D,
+         first_id IS NOT NULL AND (d.doc_id IS NULL OR first_id < d.doc_id) AS fail_E
+  FROM d JOIN firsts ON d.text = firsts.text LEFT JOIN l ON d.doc_id = l.doc_id
+), m AS (
+  SELECT part, {_FAILS} AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask
+), c AS (
+  SELECT i, substr('ABCDE', i + 1, 1) AS letter FROM range(0, 5) AS r(i)
+), o AS (
+  SELECT '' AS done, 0 AS used
+  UNION ALL
+  SELECT done || letter, used + (1 << i::INTEGER) FROM o, c WHERE (used >> i::INTEGER) % 2 = 0
+), s AS (
+  SELECT w.done AS filter_order, c.letter, 1 << c.i::INTEGER AS bit, instr(w.done, c.letter) AS step
+  FROM o AS w, c WHERE length(w.done) = 5
+), b AS (
+  SELECT s.filter_order, s.step, s.letter, s.bit, o.used AS earlier
+  FROM s JOIN o ON o.done = substr(s.filter_order, 1, s.step - 1)
+), t AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (WHERE mask & (earlier | bit) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & earlier > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE mask & earlier = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE mask & earlier = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM m, b GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM t
+"""
+
 #: The others have no SQL: they hash or code in ways DuckDB lacks, or learn; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mix": _SOURCE_MIX, "op6_substring_dedup": _SUBSTRING_DEDUP, "op9_quality_rules": _QUALITY_RULES,
+    "op11_warc": _WARC, "op13_filter_audit": _FILTER_AUDIT,
 }
