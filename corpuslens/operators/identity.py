@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.plans.prefix import salted_join
-from corpuslens.session import cut_lineage
+from corpuslens.session import cut_lineage, discard
+
+TASK_EDGES = 250_000  # edges that one task may resolve, some 50 MB
 
 
 def token_edges(clips: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -41,6 +47,38 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u != v").distinct()
 
 
+def _labels(u: pd.Series, v: pd.Series) -> pd.DataFrame:
+    """(u, v) with v the smallest token that u is connected to, for all tokens but the smallest of each component."""
+    codes, tokens = pd.factorize(pd.concat([u, v], ignore_index=True), sort=True)
+    a, b = codes[: len(u)], codes[len(u) :]
+    label = np.arange(len(tokens))
+    while True:
+        low = np.minimum(label[a], label[b])
+        hooked = label.copy()
+        np.minimum.at(hooked, label[a], low)
+        np.minimum.at(hooked, label[b], low)
+        while (further := hooked[hooked]).tolist() != hooked.tolist():
+            hooked = further
+        if (hooked == label).all():
+            break
+        label = hooked
+    moved = np.flatnonzero(label != np.arange(len(tokens)))
+    return pd.DataFrame({"u": tokens[moved], "v": tokens[label[moved]]})
+
+
+def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each batch of edges as stars on its smallest tokens: no more edges than tokens, and the same components."""
+    for frame in frames:
+        yield _labels(frame["u"], frame["v"])
+
+
+def _resolved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    whole = list(frames)
+    if whole:
+        edges = pd.concat(whole, ignore_index=True)
+        yield _labels(edges["u"], edges["v"])
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1_000_000_007)))
@@ -48,22 +86,30 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """(token, component) for undirected (a, b) edges; label = smallest token.
 
-    Alternates large-star and small-star until the edge set stops changing,
-    which takes about log(n) rounds; each round is written to the shared
-    folder, so lineage stays one round deep and survives lost executors.
+    Every batch of edges is contracted to stars in its task before the first
+    shuffle.  As long as more than ``task_edges`` edges are left, large-star
+    and small-star alternate until the edge set stops changing, which takes
+    about log(n) rounds; what is left below that bound is resolved in one
+    task.  Each round is written to the shared folder, so lineage stays one
+    round deep and survives lost executors, and the round before is deleted.
     """
-    base = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    cur = base.filter("u != v")
-    seen = None
+    base = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    kind = base.schema.simpleString()[len("struct<") : -1]
+    cur, seen = base.filter("u != v"), None
     for _ in range(max_rounds):
-        cur = cut_lineage(_step(_step(cur, large=True), large=False))
-        sig = _signature(cur)
+        made = cut_lineage(cur.mapInPandas(_contracted, kind).distinct() if seen is None else _step(_step(cur, large=True), large=False))
+        discard(*([cur] if seen is not None else []))
+        cur, sig = made, _signature(made)
         if sig == seen:
             break
         seen = sig
+        if sig[0] <= task_edges:
+            cur = cut_lineage(cur.coalesce(1).mapInPandas(_resolved, kind))
+            discard(made)
+            break
     else:
         raise RuntimeError("components did not converge")
     nodes = base.select(F.explode(F.array("u", "v")).alias("token")).distinct()

@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
     Where it is unset, as in tests, a folder under the session's warehouse is
-    used, which executors must reach anyway to store tables.
+    used, which executors must reach anyway to store tables: on a cluster the
+    warehouse must be shared too.
     """
     root = (
         spark.conf.get("spark.checkpoint.dir", None)
@@ -37,7 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
         or spark.sparkContext.getCheckpointDir()
     )
     if root is None:
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        root = f"{warehouse.rstrip('/')}/_work"
     return root
 
 
@@ -54,4 +58,16 @@ def cut_lineage(df: DataFrame, name: str = "cut", compression: str = "snappy") -
     """
     path = workspace(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_path = path
+    return stored
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut_lineage`` stored, once nothing reads them any more: neither a table still to be written nor a result."""
+    for table in tables:
+        path = getattr(table, "_stored_path", None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
