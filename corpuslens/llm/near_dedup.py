@@ -8,17 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.text import LAST_ID, chunks, given_id, identified, mix, scan
 from corpuslens.operators.identity import components
-from corpuslens.session import cut_lineage
+from corpuslens.session import cut_lineage, discard
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4  # a pair 0.8 alike shares no band with probability 3e-6
-FIRST_REPRESENTATIVES = 2  # members of a bucket that are compared with all others in the first round; eight times as many in each later one
+SMALL_BUCKET = 16  # members; all pairs of such a bucket are compared at once
+FIRST_REPRESENTATIVES = 2  # members of a larger bucket that are compared with all others in the first round
+MORE_REPRESENTATIVES = 16  # times as many in each later round
+GROUPS = 32  # of shingles, for the bound on what two texts have in common
 KEPT_SHINGLES = 400_000  # about 100 MB
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
@@ -114,7 +117,7 @@ def weighted_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray,
 
 
 def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, total weight, bands) of texts with words; bands are hashes of ROWS coordinates each."""
+    """(id, key, total weight, bands) of texts with words; bands are hashes of ROWS coordinates each."""
     for frame in chunks(frames):
         doc, element, weight = weighted_shingles(frame["text"].tolist())
         if not len(doc):
@@ -126,7 +129,8 @@ def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in range(ROWS):
             key = mix(key + parts[:, :, r])
         total = np.bincount(doc, weight, len(used)).astype(np.int64)
-        yield pd.DataFrame({"id": frame["id"].to_numpy()[used], "total": total, "bands": list(key.view(np.int64))})
+        names = {c: frame[c].to_numpy()[used] for c in ("id", "key")}
+        yield pd.DataFrame(names | {"total": total, "bands": list(key.view(np.int64))})
 
 
 def _shingle_counts(text: str) -> Counter:
@@ -172,86 +176,130 @@ def _shingled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(columns | {"shingle": element.view(np.int64), "weight": weight})
 
 
+def _enough(common: Column, totals: Column) -> Column:
+    """Whether texts of these total weights together can be alike enough with that much in common."""
+    # A thousandth of a shingle, so that rounding drops no link.
+    return common + 0.001 >= SIMILARITY / (1 + SIMILARITY) * totals
+
+
 def _may_link(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members that a member of another class can be alike enough to.
+    """Members that a member of another class can be alike enough to, with what bounds their overlaps.
 
     Linked texts of total weights x and y have SIMILARITY / (1 + SIMILARITY) *
     (x + y) in common, or more, and y is at least SIMILARITY * x and the least
     total of the bucket.  So a text leaves a bucket if its shingles that occur
-    in another class too weigh less: it has too many edits of its own.
+    in another class too weigh less: it has too many edits of its own.  Those
+    shingles are dealt into GROUPS by hash; ``_g<i>`` is their weight in each.
     """
     ids = cut_lineage(members.select("id", "class", "total").distinct(), "open_ids")
     rows = texts.join(ids, "id").select("id", "class", "total", "text")
     rows = cut_lineage(rows.mapInPandas(_shingled, "id bigint, class bigint, total bigint, shingle bigint, weight bigint"), "shingles")
     spread = rows.groupBy("shingle").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).filter("_low != _high")
-    spread = cut_lineage(spread.select("shingle"), "spread")
-    common = rows.join(spread, "shingle").groupBy("id", "total").agg(F.sum("weight").alias("_common"))
-    common = cut_lineage(common.filter(F.col("_common") + 0.001 >= SIMILARITY * F.col("total")).select("id", "_common"), "common")
-    least = cut_lineage(members.groupBy("bucket").agg(F.min("total").alias("_least")), "least")
+    group = F.pmod(F.xxhash64("shingle"), F.lit(GROUPS))
+    common = rows.join(spread.select("shingle"), "shingle").withColumn("_group", group).groupBy("id", "total").agg(
+        F.sum("weight").alias("_common"), *[F.sum(F.when(F.col("_group") == g, F.col("weight")).otherwise(0)).cast("int").alias(f"_g{g}") for g in range(GROUPS)]
+    )
+    common = cut_lineage(common.filter(F.col("_common") + 0.001 >= SIMILARITY * F.col("total")).drop("total"), "common")
+    discard(rows, ids)
+    least = members.groupBy("bucket").agg(F.min("total").alias("_least"))
     partner = F.greatest(F.col("_least"), SIMILARITY * F.col("total"))
-    # A thousandth of a shingle, so that rounding drops no link.
-    enough = F.col("_common") + 0.001 >= SIMILARITY / (1 + SIMILARITY) * (F.col("total") + partner)
-    return members.join(common, "id").join(least, "bucket").filter(enough).select(*members.columns)
+    fit = members.join(common, "id").join(least, "bucket").filter(_enough(F.col("_common"), F.col("total") + partner))
+    out = cut_lineage(fit.drop("_common", "_least"), "open_rows")
+    discard(common)
+    return out
+
+
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links, by their texts."""
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    checked = both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
+    return checked.mapInPandas(_verified, "a bigint, b bigint")
+
+
+def _leaders(members: DataFrame, slices: int, columns: list[str]) -> DataFrame:
+    """At most ``slices`` members of each bucket, those of the most links first; columns as <name>_a."""
+    by = F.struct("degree", F.xxhash64("id", F.lit(1)), *columns)
+    best = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("_slice")).agg(F.max(by).alias("_a"))
+    return best.select("bucket", *[F.col(f"_a.{c}").alias(f"{c}_a") for c in columns])
 
 
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, class) of linked texts, from members (bucket, id, total), in rounds.
-
-    In each round a few members of each bucket are compared with the members
-    of other classes there; then classes grow along the links found.  Members
-    of one class need no comparison any more, and those with most links so far
-    are asked first, because what many texts resemble joins the rest.  The
-    rounds end when every bucket is of one class or all its members have been
-    asked; so no link between classes is missed.  From the second round on,
-    texts that can't have another link go first (``_may_link``), so a bucket of
-    many texts that are a little less alike isn't paired out.
+    """(id, class) of linked texts, from members (bucket, id, total, n), n the members of the bucket.
+
+    A bucket of SMALL_BUCKET members is compared whole.  A larger one is taken
+    in rounds: a few members are compared with the members of other classes
+    there; then classes grow along the links found.  Members of one class need
+    no comparison any more, and those with most links so far are asked first,
+    because what many texts resemble joins the rest.  The rounds end when
+    every bucket is of one class or all its members have been asked; so no
+    link between classes is missed.  From the second round on, texts that
+    can't have another link go first (``_may_link``), and two texts become a
+    pair only if the lesser weights of their shared groups of shingles add up
+    to what a link needs.  Both bounds are exact, so a bucket of many texts
+    that are a little less alike isn't paired out.
     """
-    spark = members.sparkSession
     texts = texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = cut_lineage(texts, "texts", "zstd")
-    links, classes, asked, slices = None, None, None, FIRST_REPRESENTATIVES
+    # The similarity can't be above the ratio of the total weights.
+    may = F.least("total", "total_a") >= SIMILARITY * F.greatest("total", "total_a")
+    pair = [F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")]
+
+    small = F.col("n") <= SMALL_BUCKET
+    large = cut_lineage(members.filter(~small).drop("n"), "large")
+    some = not large.isEmpty()
+    whole = members.filter(small).select("bucket", "id", "total")
+    asking = whole.select("bucket", F.col("id").alias("id_a"), F.col("total").alias("total_a"))
+    pairs = whole.join(asking, "bucket").filter((F.col("id") < F.col("id_a")) & may).select(*pair)
+    asked = None
+    if some:
+        fresh = large.withColumn("degree", F.lit(0).cast("bigint"))
+        asked = cut_lineage(_leaders(fresh, FIRST_REPRESENTATIVES, ["id", "total"]), "asked")
+        pairs = pairs.unionByName(large.join(asked, "bucket").filter((F.col("id") != F.col("id_a")) & may).select(*pair))
+    pairs = cut_lineage(pairs.distinct(), "pairs")
+    links = cut_lineage(_checked(pairs, texts), "links")
+    discard(pairs)
+    slices, classes = FIRST_REPRESENTATIVES, None
     while True:
-        if classes is None:
-            now = members.select("*", F.col("id").alias("class"), F.lit(0).cast("bigint").alias("degree"))
-        else:
-            now = members.join(classes, "id", "left").withColumns(
+        degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+        linked = components(links).select(F.col("token").alias("id"), F.col("component").alias("class"))
+        old, classes = classes, cut_lineage(linked.join(degrees, "id"), "classes")
+        discard(old)
+        while some:
+            now = large.join(classes, "id", "left").withColumns(
                 {"class": F.coalesce("class", F.col("id")), "degree": F.coalesce("degree", F.lit(0))}
             )
-        now = cut_lineage(now, "now") if classes is not None else now
-        mixed = now.groupBy("bucket").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).filter("_low != _high")
-        open_rows = now.join(cut_lineage(mixed.select("bucket"), "open"), "bucket")
-        if asked is not None:
-            open_rows = open_rows.join(asked.withColumn("_asked", F.lit(True)), ["bucket", "id"], "left").filter("_asked is null").drop("_asked")
-            open_rows = _may_link(cut_lineage(open_rows, "unasked"), texts)
-        # A member asked earlier has met all others, so only the rest goes on.
-        members = cut_lineage(open_rows.select("bucket", "id", "total", "class", "degree"), "open_rows")
-        leaders = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("_slice")).agg(
-            F.max(F.struct("degree", F.xxhash64("id", F.lit(1)), "id", "class", "total")).alias("_a")
-        )
-        asking = leaders.select("bucket", F.col("_a.id").alias("a"), F.col("_a.class").alias("class_a"), F.col("_a.total").alias("total_a"))
-        asking = cut_lineage(asking, "asking")
-        if asking.isEmpty():
+            # A member asked earlier has met all others, so only the rest goes on.
+            rest = now.join(asked.select("bucket", F.col("id_a").alias("id")), ["bucket", "id"], "left_anti")
+            rest = cut_lineage(rest, "rest")
+            mixed = rest.groupBy("bucket").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).filter("_low != _high")
+            members = _may_link(rest.join(mixed.select("bucket"), "bucket"), texts)
+            discard(rest, large, asked)
+            slices *= MORE_REPRESENTATIVES
+            weights = [f"_g{g}" for g in range(GROUPS)]
+            large = members.select("bucket", "id", "total")
+            asked = cut_lineage(_leaders(members, slices, ["id", "class", "total", *weights]), "asked")
+            if asked.isEmpty():
+                some = False
+                break
+            shared = sum((F.least(g, f"{g}_a") for g in weights), F.lit(0))
+            met = members.join(asked, "bucket").filter(
+                (F.col("class") != F.col("class_a")) & may & _enough(shared, F.col("total") + F.col("total_a"))
+            )
+            pairs = cut_lineage(met.select(*pair).distinct(), "pairs")
+            found = cut_lineage(_checked(pairs, texts), "links")
+            discard(pairs)
+            large = cut_lineage(large, "large")
+            discard(members)
+            if not found.isEmpty():
+                more = cut_lineage(links.unionByName(found), "links")
+                discard(links, found)
+                links = more
+                break
+            discard(found)
+        if not some:
             break
-        # The similarity can't be above the ratio of the total weights.
-        may = F.least("total", "total_a") >= SIMILARITY * F.greatest("total", "total_a")
-        pairs = (
-            members.join(asking, "bucket").filter((F.col("class") != F.col("class_a")) & may)
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        )
-        pairs = cut_lineage(pairs, "pairs")
-        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        checked = both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
-        found = cut_lineage(checked.mapInPandas(_verified, "a bigint, b bigint"), "links")
-        if not found.isEmpty():
-            links = cut_lineage(found if links is None else links.unionByName(found), "all_links")
-            degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-            linked = components(links).select(F.col("token").alias("id"), F.col("component").alias("class"))
-            classes = cut_lineage(linked.join(degrees, "id"), "classes")
-        asked = asking.select("bucket", F.col("a").alias("id"))
-        members, slices = members.select("bucket", "id", "total"), slices * 8
-    if classes is None:
-        return spark.createDataFrame([], "id bigint, class bigint")
+    discard(texts)
     return classes.select("id", "class")
 
 
@@ -263,20 +311,24 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     copies = cut_lineage(rows.select("id", "key", content.alias("content")).distinct(), "copies")
     firsts = cut_lineage(copies.filter("content is not null").groupBy("content").agg(F.min(F.struct("id", "key")).alias("f")).select("content", "f.id", "f.key"), "firsts")
     # A doc_id may stand for several texts; inside, each distinct text has a number of its own.
-    texts = rows.select(F.xxhash64("id", "key").alias("id"), "text")
-    signed = texts.mapInPandas(_signed, "id bigint, total bigint, bands array<bigint>")
-    coded = firsts.select("content", "id", "key", F.xxhash64("id", "key").alias("code"))
-    signed = signed.join(coded.select(F.col("code").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    coded = cut_lineage(firsts.withColumn("code", F.monotonically_increasing_id()), "coded")
+    discard(firsts)
+    codes = coded.select("id", "key", "code")
+    signed = rows.mapInPandas(_signed, "id bigint, key bigint, total bigint, bands array<bigint>")
+    signed = signed.join(codes, ["id", "key"]).select(F.col("code").alias("id"), "total", "bands").dropDuplicates(["id"])
     banded = signed.select("id", "total", F.posexplode("bands").alias("band", "value"))
     banded = cut_lineage(banded.select("id", "total", F.xxhash64("band", "value").alias("bucket")), "bands")
-    shared = cut_lineage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "shared")
-    members = cut_lineage(banded.join(shared, "bucket"), "members")
-    classes = _links(members, texts)
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = cut_lineage(banded.join(cut_lineage(shared, "shared"), "bucket"), "members")
+    discard(banded)
+    classes = _links(members, rows.join(codes, ["id", "key"]).select(F.col("code").alias("id"), "text"))
+    discard(members)
     linked = coded.join(classes.withColumnRenamed("id", "code"), "code", "left").select(
         "content", "id", "key", F.coalesce("class", "code").alias("_class")
     )
     lowest = cut_lineage(linked.groupBy("_class").agg(F.min(F.struct("id", "key")).alias("_f")).select("_class", F.col("_f.id").alias("class"), F.col("_f.key").alias("first_key")), "lowest")
     named = cut_lineage(linked.join(lowest, "_class").select("content", "class", "first_key"), "named")
+    discard(lowest, coded)
     out = copies.join(named, "content", "left")
     kept = F.col("class").isNull() | ((F.col("id") == F.col("class")) & (F.col("key") == F.col("first_key")))
     return out.select("id", "key", F.coalesce("class", "id").alias("class"), kept.alias("kept"))
