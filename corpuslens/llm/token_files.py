@@ -20,6 +20,7 @@ from corpuslens.session import cut_lineage, workspace
 BLOCK = 256  # ids in a block
 FIT = 0.9  # share of a block's values that its width must hold
 SEGMENT_TOKENS = 1 << 20
+FILE_SEGMENTS = 32  # segments of a file at most, so that files stay far below what can be read at once
 END_ID = 2
 CACHED_WORDS = 1_000_000  # encoded words a worker remembers, about 200 MB
 
@@ -132,7 +133,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The library looks for these strings before anything else, so a text that holds one goes through it whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
         pieces = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
@@ -160,7 +162,9 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         heads, tails = [], []
         for text in texts:
-            if self._ODD.search(text):
+            if any(a in text for a in self.added):
+                parts = [text]
+            elif self._ODD.search(text):
                 parts = self._CUT.split(text)
                 parts = [parts[0], *[p[1:] for p in parts[1:]]]
             else:
@@ -202,15 +206,15 @@ def _written(path: str):
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Write the ids of all texts, each with END_ID after it, to token files under ``path`` in ascending doc_id order.
 
-    Documents are dealt into ranges of doc_id and sorted there, one file per
-    range, in segments of about a million ids.  Spark's own writer stores the
-    bytes, so a task that is run again leaves nothing twice.  A null text is
-    empty; a null doc_id comes last; rows with equal doc_ids follow one
-    another in order of their texts.
+    Documents are dealt into ranges of (doc_id, hash of the text) and sorted
+    there, in segments of about a million ids and files of FILE_SEGMENTS
+    segments.  Spark's own writer stores the bytes, so a task that is run again
+    leaves nothing twice.  A null text is empty; a null doc_id comes last; rows
+    with equal doc_ids follow one another in order of those hashes.
     """
-    order = ["id", "text"]
-    dealt = identified(docs).select(*order).repartitionByRange("id").sortWithinPartitions(*order)
-    dealt.mapInPandas(_written(tokenizer), "segment binary").select(F.col("segment").cast("string")).write.text(path)
+    dealt = identified(docs).repartitionByRange("id", "key").sortWithinPartitions("id", "key", "text").select("id", "text")
+    segments = dealt.mapInPandas(_written(tokenizer), "segment binary").select(F.col("segment").cast("string"))
+    segments.write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
