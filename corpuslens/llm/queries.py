@@ -64,14 +64,21 @@ WITH d AS (
                   FILTER (WHERE (total - 3.0::DOUBLE * capped) / open_w * w <= 3.0::DOUBLE * source_size), 0) AS share FROM r
 ), t AS (
   SELECT source, source_size, least(w * share, 3.0::DOUBLE * source_size)::DOUBLE AS target FROM s, l
-), m AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('mix:17:' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS coin
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), u AS (
+  SELECT source, doc_id, digest, count(*) * max(size) AS unit_size,
+         md5('mix:17:' || coalesce(doc_id::VARCHAR, '') || ':' || digest) AS h
+  FROM d GROUP BY source, doc_id, digest
+), k AS (
+  SELECT u.*, source_size, target, row_number() OVER (PARTITION BY u.source ORDER BY unit_size, h) - 1 AS k,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         ('0x' || substr(md5('mix-offset:17:' || (u.source IS NULL)::VARCHAR || ':' || coalesce(u.source, '')), 1, 8))::UBIGINT
+           / 4294967296.0::DOUBLE AS o
+  FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source
 ), c AS (
-  SELECT *, (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END)::INTEGER AS copies FROM m
+  SELECT *, (floor(rate) + floor((k + 1) * (rate - floor(rate)) + o) - floor(k * (rate - floor(rate)) + o))::INTEGER AS copies FROM k
 )
-SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM c
+SELECT d.doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, copies
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.digest = c.digest
 """
 
 _SUBSTRING_DEDUP = rf"""
