@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.llm.text import LAST_ID, identified
@@ -10,7 +11,8 @@ from corpuslens.session import cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCK_SHINGLES = 250_000  # shingles of items sent to all tasks at once
+SENT_SHINGLES = 250_000  # rare shingles of items sent to all tasks at once, some 10 MB
+
 
 def _words(text: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
@@ -32,27 +34,61 @@ def _fingerprints(rows: DataFrame, by: list[str], size: int) -> DataFrame:
     return sums.select(*by, F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x)).alias("print"))
 
 
-def _best_windows(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
+def _runs(words: str, at: str, size: int) -> Column:
+    """Hash of the ``size`` words from place ``at``."""
+    return F.xxhash64(*[F.get(F.col(words), F.col(at) + j) for j in range(size)])
+
+
+def _places(docs: DataFrame, size: int, *more: str) -> DataFrame:
+    """(id, key, length, _i, _h): every run of ``size`` words, by its first word's place."""
+    length = F.size("words")
+    rows = docs.filter(length >= size).select("id", "key", "words", *more, length.alias("length"), F.explode(F.sequence(F.lit(0), length - size)).alias("_i"))
+    return rows.select("id", "key", *more, "length", "_i", _runs("words", "_i", size).alias("_h"))
+
+
+def _wanted(items: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(item, n, _h, _w, _rare): the shingles of items with their weights; the rare ones find the documents.
+
+    An item of weight m and a window 0.8 alike share 0.8 * m at least, so of
+    any shingles of the item that weigh more than the rest together one is in
+    the window.  Those that fewest items hold are chosen: a sentence that all
+    items share finds nothing by itself.
+    """
+    parts = items.select("item", "n", "words", F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("_q"))
+    weighed = parts.select("item", "n", _runs("words", "_q", size).alias("_h")).groupBy("item", "n", "_h").agg(F.count(F.lit(1)).cast("int").alias("_w"))
+    held = weighed.groupBy("_h").agg(F.count(F.lit(1)).alias("_items"))
+    rarest = W.partitionBy("item").orderBy("_items", "_h").rowsBetween(W.unboundedPreceding, -1)
+    total = F.col("n") - size + 1
+    missing = total - F.ceil(similarity * total - 1e-9)
+    before = F.coalesce(F.sum("_w").over(rarest), F.lit(0))
+    return weighed.join(held, "_h").select("item", "n", "_h", "_w", (before <= missing).alias("_rare"))
+
+
+def _best_windows(docs: DataFrame, items: DataFrame, size: int, similarity: float, sent_shingles: int) -> DataFrame:
     """(id, key, item, at, similarity): the best window of a document for each item it holds.
 
-    Shingles of documents meet those of ``items``, a block of bounded size that
-    goes to all tasks, by 64-bit hash.  Of a shingle with weight w in the item,
+    Shingles of documents meet the rare ones of items (``_wanted``) by 64-bit
+    hash, which gives the pairs (document, item) that can match; only for them
+    all shingles of the item are met.  Of a shingle with weight w in the item,
     the first w places in a window count; so a place counts for the windows
     that reach it and start after the place w before it: a run of ``at``.
     Where most runs overlap is the best window.  All windows are compared, each
-    exactly, and the work is that of sorting the places met.
+    exactly, and the work is that of sorting the places met.  Up to
+    ``sent_shingles`` rare shingles are sent to all tasks; more are joined as
+    Spark sees fit.
     """
-    length = F.size("words")
-    places = docs.filter(length >= size).select(
-        "id", "key", "words", length.alias("length"), F.explode(F.sequence(F.lit(0), length - size)).alias("_i")
-    )
-    run = F.xxhash64(*[F.get(F.col("words"), F.col("_i") + j) for j in range(size)])
-    places = places.select("id", "key", "length", "_i", run.alias("_h"))
-    parts = items.select("item", "n", "words", F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("_q"))
-    wanted = parts.select("item", "n", F.xxhash64(*[F.get(F.col("words"), F.col("_q") + j) for j in range(size)]).alias("_h"))
-    wanted = wanted.groupBy("item", "n", "_h").agg(F.count(F.lit(1)).cast("int").alias("_w"))
-    met = places.join(F.broadcast(wanted), "_h").groupBy("id", "key", "length", "item", "n").agg(
-        F.collect_set(F.struct("_h", "_i", "_w")).alias("_places")  # a set, as equal rows are one document
+    wanted = cut_lineage(_wanted(items, size, similarity), "wanted")
+    rare = wanted.filter("_rare").select("item", "_h")
+    if rare.count() <= sent_shingles:
+        rare = F.broadcast(rare)
+    # A set, as equal rows are one document.
+    worded = docs.select("id", "key", _words().alias("words"))
+    pairs = cut_lineage(_places(worded, size).join(rare, "_h").select("id", "key", "item").distinct(), "pairs")
+    held = pairs.groupBy("id", "key").agg(F.collect_set("item").alias("items"))
+    known = docs.join(held, ["id", "key"]).dropDuplicates(["id", "key"]).select("id", "key", _words().alias("words"), "items")
+    places = _places(known, size, "items").select("id", "key", "length", "_i", "_h", F.explode("items").alias("item"))
+    met = places.join(wanted.drop("_rare"), ["item", "_h"]).groupBy("id", "key", "length", "item", "n").agg(
+        F.collect_list(F.struct("_h", "_i", "_w")).alias("_places")
     )
     width = F.least("n", "length")
     totals = F.col("n") + width - 2 * size + 2
@@ -84,35 +120,29 @@ def _best_windows(docs: DataFrame, items: DataFrame, size: int, similarity: floa
     return top.select("id", "key", "item", F.col("_top.at").alias("at"), like.alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
-def _itemized(benchmark: DataFrame, block_shingles: int) -> tuple[DataFrame, int]:
-    """(item_id, words, n, item, size, block_no), and the number of blocks."""
+def _itemized(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words, n, item, size)"""
     items = benchmark.select("item_id", _words().alias("words")).withColumn("n", F.size("words")).filter("n > 0")
     # An item_id with several texts is as many items.
     items = items.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
-    items = items.withColumn("size", F.least(F.lit(SHINGLE), F.col("n")))
-    blocks = F.greatest(F.lit(1), F.ceil(F.sum(F.col("n")) / F.lit(block_shingles)))
-    n_blocks = items.agg(blocks).first()[0] or 1
-    return cut_lineage(items.withColumn("block_no", F.pmod(F.xxhash64("item"), F.lit(n_blocks))), "items"), n_blocks
+    return cut_lineage(items.withColumn("size", F.least(F.lit(SHINGLE), F.col("n"))), "items")
 
 
 def _sizes(items: DataFrame) -> list[int]:
     return sorted(r[0] for r in items.select("size").distinct().limit(SHINGLE).collect())
 
 
-def _found(docs: DataFrame, items: DataFrame, n_blocks: int, similarity: float) -> DataFrame | None:
+def _found(docs: DataFrame, items: DataFrame, similarity: float, sent_shingles: int) -> DataFrame | None:
     """``_best_windows`` of all items; None if there are no items."""
-    worded = identified(docs).select("id", "key", _words().alias("words"))
     found = None
     for size in _sizes(items):
-        sized = items.filter(F.col("size") == size)
-        for block in range(n_blocks):
-            part = _best_windows(worded, sized.filter(F.col("block_no") == block), size, similarity)
-            found = part if found is None else found.unionByName(part)
+        part = _best_windows(identified(docs), items.filter(F.col("size") == size), size, similarity, sent_shingles)
+        found = part if found is None else found.unionByName(part)
     return found
 
 
 def matches(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_shingles: int = BLOCK_SHINGLES
+    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, sent_shingles: int = SENT_SHINGLES
 ) -> DataFrame:
     """(doc_id, key, item_id, at, distance, similarity): the best window of a document for each item it holds.
 
@@ -127,11 +157,10 @@ def matches(
     Null and wordless texts and items match nothing; a null doc_id is kept as
     null; ``key`` is a hash of the text, for tables where doc_ids repeat; equal
     rows give one match; the smallest ``at`` wins ties.  The benchmark may be
-    of any size: it is taken in blocks of at most ``block_shingles`` shingles
-    (one item at least), each of which is sent to all tasks.
+    of any size.
     """
-    items, n_blocks = _itemized(benchmark, block_shingles)
-    found = _found(docs, items, n_blocks, similarity)
+    items = _itemized(benchmark)
+    found = _found(docs, items, similarity, sent_shingles)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, key bigint, item_id bigint, at int, distance int, similarity double")
     found = cut_lineage(found, "windows")
@@ -152,7 +181,7 @@ def matches(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item of the benchmark, with their own columns."""
-    found = _found(docs, *_itemized(benchmark, BLOCK_SHINGLES), SIMILARITY)
+    found = _found(docs, _itemized(benchmark), SIMILARITY, SENT_SHINGLES)
     if found is None:
         return docs
     bad = cut_lineage(found.select(F.col("id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct(), "contaminated")
