@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.text import LAST_ID, Words, chunks, given_id, identified, scan
-from corpuslens.session import cut_lineage
+from corpuslens.session import cut_lineage, discard
 
 WINDOW = 13  # words
 GRAM = 3  # words in an anchor
@@ -180,12 +180,19 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, key, anchors): the distinct anchors of each text that has a window."""
     for frame in chunks(frames):
         _, doc, anchor = _anchors(scan(frame["text"].tolist()))
+        order = np.lexsort((anchor, doc))
+        doc, anchor = doc[order], anchor[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-        doc = doc[new]
-        yield pd.DataFrame({"anchor": anchor[new], "id": frame["id"].to_numpy()[doc], "key": frame["key"].to_numpy()[doc]})
+        doc, anchor = doc[new], anchor[new]
+        with_window, begin = np.unique(doc, return_index=True)
+        yield pd.DataFrame({
+            "id": frame["id"].to_numpy()[with_window], "key": frame["key"].to_numpy()[with_window],
+            "anchors": np.split(anchor, begin[1:]) if len(begin) else [],
+        })
 
 
 def _passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,11 +253,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     anchor with more words than a shard holds is dealt out by whole windows.
     """
     rows = identified(docs)
-    seen = rows.mapInPandas(_anchor_rows, "anchor bigint, id bigint, key bigint")
+    stored = cut_lineage(rows.mapInPandas(_anchor_rows, "id bigint, key bigint, anchors array<bigint>"), "seen")
+    seen = stored.select("id", "key", F.explode("anchors").alias("anchor"))
     shared = seen.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
     shared = cut_lineage(shared, "anchors")
     known = seen.join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors"))
     known = cut_lineage(known, "known")
+    discard(stored, shared)
     found = rows.join(known, ["id", "key"]).mapInPandas(
         _passages, "id bigint, key bigint, at bigint, windows bigint, anchor bigint, passage string"
     )
@@ -259,10 +268,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     def distinct(p: DataFrame) -> DataFrame:
         return p.groupBy("anchor", "content", "passage").agg(F.min("id").alias("first"))
 
+    discard(known)
     one = cut_lineage(distinct(passages), "distinct", "zstd")
     words = F.size(F.split("passage", " "))
     hot = one.groupBy("anchor").agg(F.sum(words).alias("n")).filter(F.col("n") > SHARD_WORDS).select("anchor")
     hot = cut_lineage(hot, "hot")
+    distinct_passages, single = one, None
     where = passages.select("id", "key", "at", "anchor", "content")
     if not hot.isEmpty():
         spread = passages.join(hot, "anchor").select("id", "key", "at", F.posexplode(_windows_of("passage")).alias("j", "passage"))
@@ -277,6 +288,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     sharded = one.withColumn("shard", F.pmod(F.xxhash64(F.col("anchor"), F.lit(7)), F.lit(shards)))
     least = sharded.groupBy("shard").applyInPandas(_search_shard, "anchor bigint, content bigint, least array<bigint>")
     least = cut_lineage(least, "least")
+    discard(distinct_passages, single)
     hits = where.join(least, ["anchor", "content"]).filter(F.exists("least", lambda x: x < F.col("id")))
     return hits.select("id", "key", "at", F.posexplode("least").alias("j", "least")).filter(F.col("least") < F.col("id")).select(
         "id", "key", (F.col("at") + F.col("j")).alias("at"), "least"
