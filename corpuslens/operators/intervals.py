@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.numeric import dot
-from corpuslens.plans.prefix import running_totals, with_group_stats
+from corpuslens.plans.prefix import running_totals, salted_join, with_group_stats
 from corpuslens.session import cut_lineage
 
 
@@ -56,6 +56,56 @@ def window_slices(
     return sliced.unionByName(empty.select(clip, win, F.lit(None).cast(dict(samples.dtypes)[t]).alias(t), F.lit(0.0).alias("z")))
 
 
+def band_slices(
+    windows: DataFrame, frames: DataFrame, clip: str, win: str, index: str, bands: str, rate: float, n_out: int,
+    min_samples: int = 5, eps: float = 1e-8,
+) -> DataFrame:
+    """(clip, win, j, z): each window [t0, t1) of a clip as ``n_out`` z-scored vectors of bands.
+
+    ``frames`` holds one vector per (clip, index), the index counting from 0
+    without gaps at ``rate`` frames a second.  Bounds are rounded half-even to
+    frames and kept inside the clip.  Output j stands at (j + 0.5) * n / n_out
+    - 0.5 of the window's n frames, kept inside it, and is interpolated
+    between its two neighbours; the z-score is over all outputs and bands of
+    the window together.  A window of fewer than ``min_samples`` frames, or of
+    a clip without frames, is all zeros.
+
+    Every output meets its neighbours by (clip, index): two equal-key joins,
+    no range join, and a long clip spreads over all tasks.
+    """
+    sizes = frames.groupBy(clip).agg((F.max(index) + 1).alias("_t"), F.max(F.size(bands)).alias("_bands"), F.count(F.lit(1)).alias("_rows"))
+    most = frames.agg(F.max(F.size(bands))).scalar()
+    known = salted_join(windows.select(clip, win, "t0", "t1"), sizes.drop("_rows"), [clip], "left")
+    first = F.greatest(F.lit(0), F.bround(F.col("t0") * rate, 0).cast("int"))
+    end = F.least(F.coalesce("_t", F.lit(0)), F.bround(F.col("t1") * rate, 0).cast("int"))
+    placed = known.select(clip, win, "_bands", first.alias("_i"), (end - first).alias("_n"))
+    short = placed.filter(F.col("_n") < min_samples)
+    zeros = F.array_repeat(F.lit(0.0), F.coalesce("_bands", most))
+    outputs = F.explode(F.sequence(F.lit(0), F.lit(n_out - 1))).alias("j")
+    empty = short.select(clip, win, outputs, zeros.alias("z"))
+
+    grid = placed.filter(F.col("_n") >= min_samples).select(clip, win, "_i", "_n", outputs)
+    at = F.least(F.greatest((F.col("j") + 0.5) * F.col("_n") / F.lit(float(n_out)) - 0.5, F.lit(0.0)), (F.col("_n") - 1).cast("double"))
+    low = F.floor(at)
+    taps = grid.select(
+        clip, win, "j", (at - low).alias("_f"), (F.col("_i") + low).alias("_low"), (F.col("_i") + F.least(low + 1, F.col("_n") - 1)).alias("_high")
+    )
+    vectors = frames.select(clip, F.col(index).cast("bigint").alias("_low"), F.col(bands).cast("array<double>").alias("_a"))
+    both = taps.join(vectors, [clip, "_low"]).join(vectors.withColumnsRenamed({"_low": "_high", "_a": "_b"}), [clip, "_high"])
+    mixed = both.select(clip, win, "j", F.zip_with("_a", "_b", lambda a, b: (1 - F.col("_f")) * a + F.col("_f") * b).alias("_v"))
+    mixed = cut_lineage(mixed, "interpolated")  # read for the statistics and for the rows
+    # Two passes over n_out vectors a window: sums of squares about the mean, not about zero.
+    total = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x)
+    means = mixed.groupBy(clip, win).agg(F.sum(total).alias("_s"), F.sum(F.size("_v")).alias("_k"))
+    centred = mixed.join(means, [clip, win]).select(
+        clip, win, "j", "_k", F.transform("_v", lambda x: x - F.col("_s") / F.col("_k")).alias("_v")
+    )
+    squares = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)
+    spread = centred.groupBy(clip, win).agg((F.sqrt(F.sum(squares) / F.max("_k")) + eps).alias("_d"))
+    scaled = centred.join(spread, [clip, win]).select(clip, win, "j", F.transform("_v", lambda x: x / F.col("_d")).alias("z"))
+    return scaled.unionByName(empty)
+
+
 def lag_profile(
     a: DataFrame, b: DataFrame, clip: str, t: str, vec: str, valid: str, max_lag: int
 ) -> DataFrame:

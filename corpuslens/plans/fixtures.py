@@ -113,6 +113,23 @@ fixture(
     FROM {embeddings}
     """,
 )
+# Every clip whole, then cut short, then without a valid frame.
+fixture(
+    "frames_more",
+    """
+    SELECT 3 * clip AS clip, frame_idx, ts, valid, embedding FROM {frames}
+    UNION ALL SELECT 3 * clip + 1, frame_idx, ts, valid, embedding FROM {frames} WHERE frame_idx <= clip % 11
+    UNION ALL SELECT 3 * clip + 2, frame_idx, ts, false, embedding FROM {frames}
+    """,
+)
+# Windows of 0.32 s over clips of 25 frames a second; the last ones run out of frames.
+fixture(
+    "cuts",
+    """
+    SELECT clip, win, win * 16e-2 - 8e-2 AS t0, win * 16e-2 + 24e-2 AS t1
+    FROM (SELECT DISTINCT clip, CAST(frame_idx % 6 AS INT) AS win FROM {frames_more}) AS c
+    """,
+)
 fixture(
     "boxes",
     """

@@ -10,7 +10,9 @@ the groups are skewed.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.hashing import hash_uint, tag_hash
+from corpuslens.session import cut_lineage, discard
 
 _MIN_SIDE, _MAX_SIDE = 6, 64  # 36 .. 4096 buckets
-_MIN_ROWS = 20_000  # a smaller bucket is not worth its overhead
 
 
 def bucket_side(spark: SparkSession) -> int:
@@ -70,34 +72,41 @@ def bucket_starts(df: DataFrame, by: Sequence[str], bucket: str, sums: dict[str,
     return totals.select(*out)
 
 
-def _attach(df: DataFrame, starts: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
-    # Without groups the side table holds at most one row per bucket, so its
-    # size is bounded and it may be broadcast; with groups Spark decides.
-    side = starts if by else F.broadcast(starts)
-    # A left join keeps the optimiser from pushing "bucket is not null" below
-    # the aggregate that feeds us, which would break exchange reuse.
-    return df.join(side, [*by, bucket], "left")
-
-
-def running_totals(
-    table: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), min_rows: int = _MIN_ROWS
-) -> DataFrame:
+def running_totals(table: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Add ``<c>_before`` (strictly lower ``order``) and ``<c>_total`` per group.
 
-    ``table`` must hold one row per (by, order); aggregate ties first.
+    ``table`` must hold one row per (by, order); aggregate ties first.  It is
+    computed once and stored, then dealt into ranges of (by, order), so that a
+    small group lies in one range and a big one in several.  Inside a range a
+    window does the work; only groups that several ranges hold, fewer than
+    twice the ranges, need what lies in the others, so their table may be
+    broadcast.
     """
     by = list(by)
-    side = bucket_side(table.sparkSession)
-    cut = table.withColumn("_cuts", cut_points(table, order, side, min_rows))
-    cut = cut.withColumn("_bucket", cut_bucket(F.col(order), F.col("_cuts"), side)).drop("_cuts")
-    starts = bucket_starts(cut, by, "_bucket", {s: F.sum(s) for s in sums})
-    joined = _attach(cut, starts, by, "_bucket")
-    inside = W.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    once = cut_lineage(table, "scores")
+    # Range bounds are sampled, so the ranges are written down too.
+    ranged = cut_lineage(once.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    discard(once)
+    parts = ranged.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    before = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    several = parts.withColumn("_ranges", F.count(F.lit(1)).over(group)).select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), "_ranges",
+        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}_start") for s in sums],
+        *[F.sum(s).over(group).alias(f"_{s}_all") for s in sums],
+    ).filter("_ranges > 1").drop("_ranges")
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = ranged.join(F.broadcast(several), same, "left")
+    whole = W.partitionBy(*by, "_range")
+    inside = whole.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     for s in sums:
-        joined = joined.withColumn(
-            f"{s}_before", F.col(f"_{s}_start") + F.coalesce(F.sum(s).over(inside), F.lit(0))
-        )
-    return joined.drop("_bucket", *[f"_{s}_start" for s in sums])
+        joined = joined.withColumns({
+            f"{s}_before": F.coalesce(f"_{s}_start", F.lit(0)) + F.coalesce(F.sum(s).over(inside), F.lit(0)),
+            f"{s}_total": F.coalesce(F.col(f"_{s}_all"), F.sum(s).over(whole)),
+        })
+    return joined.select(*table.columns, *[c for s in sums for c in (f"{s}_before", f"{s}_total")])
 
 
 def pieces_wanted(spark: SparkSession) -> int:
@@ -200,21 +209,25 @@ def salted_join(rows: DataFrame, side: DataFrame, by: Sequence[str], how: str =
     Rows of a key above 1 / pieces of the table get a salt from a hash of the
     whole row, and the key's side row is repeated once per salt.  There are
     fewer such keys than pieces, so their table may be broadcast, and the side
-    grows by fewer rows than pieces.  ``count`` names a column of ``side`` that
-    holds the number of rows per key; it saves a count and is dropped.
+    grows by fewer rows than pieces.  Rows with a null in ``by`` have no
+    partner, as in any join; a left join deals them out by the hash alone.
+    ``count`` names a column of ``side`` that holds the number of rows per
+    key; it saves a count and is dropped.
     """
     by, pieces = list(by), pieces_wanted(rows.sparkSession)
+    known = functools.reduce(operator.and_, [F.col(c).isNotNull() for c in by])
     if count:
         total = side.agg(F.sum(count)).scalar()
         share = F.col(count) * pieces / F.col("_all")
         big = side.withColumn("_all", total).filter(share > 1).select(*by, F.ceil(share).alias("_pieces"))
         side = side.drop(count)
     else:
-        big = big_groups(rows, by, pieces).select(*by, "_pieces")
+        big = big_groups(rows.filter(known), by, pieces).select(*by, "_pieces")
     big = F.broadcast(big)
     whole = F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind])
     salted = rows.withColumn("_whole", whole).join(big, by, "left")
-    salted = salted.withColumn("_salt", F.coalesce(F.pmod("_whole", F.col("_pieces")), F.lit(0))).drop("_pieces", "_whole")
+    salt = F.when(known, F.coalesce(F.pmod("_whole", F.col("_pieces")), F.lit(0))).otherwise(F.col("_whole"))
+    salted = salted.withColumn("_salt", salt).drop("_pieces", "_whole")
     spread = side.join(big, by, "left")
     spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
     return salted.join(spread, [*by, "_salt"], how).drop("_salt")

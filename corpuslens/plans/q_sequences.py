@@ -21,11 +21,10 @@ def logit():
 
 @query(
     "centre_window",
-    """SELECT clip, frame_idx, start::INT AS start FROM (SELECT clip, frame_idx, greatest(0, count(*) OVER (PARTITION BY clip) - 12) // 2 AS start FROM frames
-       WHERE frame_idx < 20 - clip % 11) WHERE frame_idx >= start AND frame_idx < start + 12""",
+    """SELECT clip, frame_idx, start::INT AS start FROM (SELECT clip, frame_idx, greatest(0, count(*) OVER (PARTITION BY clip) - 12) // 2 AS start FROM frames_more) WHERE frame_idx >= start AND frame_idx < start + 12""",
 )
 def centre_window(t):
-    rows = t.frames.filter("frame_idx < 20 - clip % 11").select("clip", "frame_idx")
+    rows = t.frames_more.select("clip", "frame_idx")
     return Q.window_of(rows, "clip", "frame_idx", 12).select("clip", "frame_idx", "start")
 
 
@@ -46,13 +45,12 @@ def contiguous_run(t):
 
 @query(
     "pad_sequence",
-    """WITH f AS (SELECT * FROM frames WHERE frame_idx < 20 - clip % 7), s AS (SELECT clip, count(*) AS n, max(ts) AS last_ts FROM f GROUP BY clip)
+    """WITH f AS (SELECT * FROM frames_more), s AS (SELECT clip, count(*) AS n, max(ts) AS last_ts FROM f GROUP BY clip)
        SELECT s.clip, g.j::INT AS frame_idx, round(coalesce(f.ts, s.last_ts + (g.j - s.n + 1) / 25.0::DOUBLE), 6) AS ts, coalesce(f.valid, false)::INT AS valid
        FROM s CROSS JOIN range(24) g(j) LEFT JOIN f ON f.clip = s.clip AND f.frame_idx = g.j""",
 )
 def pad_sequence(t):
-    rows = t.frames.filter("frame_idx < 20 - clip % 7")
-    out = Q.pad_frames(rows, "clip", "frame_idx", "ts", "valid", F.lit(25.0), 24)
+    out = Q.pad_frames(t.frames_more, "clip", "frame_idx", "ts", "valid", F.lit(25.0), 24)
     return out.select("clip", "frame_idx", rounded("ts").alias("ts"), F.col("valid").cast("int").alias("valid"))
 
 
@@ -80,28 +78,23 @@ def box_ffill(t):
     return out.select("clip", "frame_idx", "box.l", "box.t", "box.r", "box.b", "usable")
 
 
-SHORT = "(SELECT * FROM frames WHERE clip % 5 <> 0 OR frame_idx < 4)"
-
-
 @query(
     "tiled_score",
     f"""SELECT clip, count(*)::BIGINT AS n_tiles, round(avg(1.0 / (1.0 + exp(-(z / 0.7)))), 6) AS score FROM (
           SELECT clip, frame_idx // 6 AS tile, count(*) AS n, bool_or(valid) AS any_valid, avg(CASE WHEN valid THEN {LOGIT} END) AS z
-          FROM {SHORT} GROUP BY 1, 2) WHERE (n = 6 OR tile = 0) AND any_valid GROUP BY clip""",
+          FROM frames_more GROUP BY 1, 2) WHERE (n = 6 OR tile = 0) AND any_valid GROUP BY clip""",
 )
 def tiled_score(t):
-    rows = t.frames.filter("clip % 5 <> 0 or frame_idx < 4")
-    out = SC.tiled_score(rows, "clip", "frame_idx", "valid", logit(), 6, 0.7)
+    out = SC.tiled_score(t.frames_more, "clip", "frame_idx", "valid", logit(), 6, 0.7)
     return out.select("clip", "n_tiles", rounded("score").alias("score"))
 
 
 @query(
     "clip_score",
-    f"SELECT clip, round(coalesce(avg(CASE WHEN valid AND clip % 6 <> 0 THEN 1.0 / (1.0 + exp(-({LOGIT}))) END), 0.5), 6) AS score FROM frames GROUP BY clip",
+    f"SELECT clip, round(coalesce(avg(CASE WHEN valid THEN 1.0 / (1.0 + exp(-({LOGIT}))) END), 0.5), 6) AS score FROM frames_more GROUP BY clip",
 )
 def clip_score(t):
-    ok = F.col("valid") & (F.col("clip") % 6 != 0)
-    return SC.clip_mean(t.frames, ["clip"], sigmoid(logit()), ok).select("clip", rounded("score").alias("score"))
+    return SC.clip_mean(t.frames_more, ["clip"], sigmoid(logit()), F.col("valid")).select("clip", rounded("score").alias("score"))
 
 
 SAMPLES = 20
@@ -132,12 +125,10 @@ def batch_score(t):
     "masked_pool",
     """SELECT clip, d::INT AS dim, coalesce(round(avg(v) FILTER (WHERE valid), 6) + 0.0, 0) AS mean,
               round(sqrt(greatest(coalesce(var_pop(v) FILTER (WHERE valid), 0), 1e-8)), 6) AS std
-       FROM (SELECT clip, valid, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS d
-             FROM (SELECT clip, valid AND clip % 5 <> 0 AS valid, embedding FROM frames)) GROUP BY 1, 2""",
+       FROM (SELECT clip, valid, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS d FROM frames_more) GROUP BY 1, 2""",
 )
 def masked_pool(t):
-    frames = t.frames.withColumn("valid", F.col("valid") & (F.col("clip") % 5 != 0))  # some clips have no valid frame
-    out = Q.masked_pool(frames, "clip", "embedding", "valid")
+    out = Q.masked_pool(t.frames_more, "clip", "embedding", "valid")
     rows = out.select("clip", F.posexplode(F.arrays_zip("mean", "std")).alias("dim", "v"))
     return rows.select("clip", "dim", rounded("v.mean").alias("mean"), rounded("v.std").alias("std"))
 
@@ -200,18 +191,35 @@ def interval_slice(t):
     return out.select("clip", "win", rounded("t").alias("t"), rounded("z").alias("z"))
 
 
+@query(
+    "band_slices",
+    """WITH b AS (SELECT c.clip, c.win, greatest(0, round_even(c.t0 * 25, 0))::INT AS i, least(s.t, round_even(c.t1 * 25, 0))::INT AS e
+                  FROM cuts c JOIN (SELECT clip, max(frame_idx) + 1 AS t FROM frames_more GROUP BY clip) s ON s.clip = c.clip),
+       x AS (SELECT clip, win, i, e - i AS n, j, least(greatest((j + 0.5::DOUBLE) * (e - i) / 8.0::DOUBLE - 0.5::DOUBLE, 0), e - i - 1) AS x FROM b, range(8) r(j)),
+       v AS (SELECT x.clip, x.win, x.j, unnest(list_transform(list_zip(p.embedding, q.embedding), lambda z: (1 - (x - floor(x))) * z[1]::DOUBLE + (x - floor(x)) * z[2]::DOUBLE)) AS v,
+                    unnest(range(64)) AS band
+             FROM x JOIN frames_more p ON p.clip = x.clip AND p.frame_idx = i + floor(x)
+                    JOIN frames_more q ON q.clip = x.clip AND q.frame_idx = i + least(floor(x) + 1, n - 1) WHERE n >= 5)
+       SELECT clip, win, j::INT AS j, band::INT AS band, round((v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-8), 6) + 0.0 AS z FROM v WINDOW w AS (PARTITION BY clip, win)
+       UNION ALL SELECT clip, win, j::INT, d::INT, 0 FROM x, range(64) y(d) WHERE n < 5""",
+)
+def band_slices(t):
+    out = V.band_slices(t.cuts, t.frames_more, "clip", "win", "frame_idx", "embedding", 25.0, 8)
+    rows = out.select("clip", "win", "j", F.posexplode("z").alias("band", "z"))
+    return rows.select("clip", "win", "j", "band", rounded("z").alias("z"))
+
+
 LAG = """SELECT c.clip, c.k, coalesce(n, 0)::BIGINT AS n, coalesce(sim, 0) AS sim
-         FROM (SELECT DISTINCT clip, k::INT AS k FROM frames, range(-8, 9) r(k)) c LEFT JOIN (
+         FROM (SELECT DISTINCT clip, k::INT AS k FROM frames_more, range(-8, 9) r(k)) c LEFT JOIN (
            SELECT a.clip, (b.frame_idx + {shift} - a.frame_idx)::INT AS k, count(*)::BIGINT AS n,
                   avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS sim
-           FROM frames a JOIN frames b ON b.clip = a.clip AND abs(b.frame_idx + {shift} - a.frame_idx) <= 8
-           WHERE a.valid AND a.clip % 5 <> 0 GROUP BY 1, 2) m ON m.clip = c.clip AND m.k = c.k"""
+           FROM frames_more a JOIN frames_more b ON b.clip = a.clip AND abs(b.frame_idx + {shift} - a.frame_idx) <= 8
+           WHERE a.valid GROUP BY 1, 2) m ON m.clip = c.clip AND m.k = c.k"""
 
 
 def _lag(t, shift: int):
     raw = F.col("embedding").cast("array<double>")
-    valid = F.col("valid") & (F.col("clip") % 5 != 0)  # some clips have no valid frame
-    unit_rows = t.frames.select("clip", "frame_idx", valid.alias("valid"), raw.alias("_v")).withColumn("_n", norm("_v"))
+    unit_rows = t.frames_more.select("clip", "frame_idx", "valid", raw.alias("_v")).withColumn("_n", norm("_v"))
     rows = unit_rows.select("clip", "frame_idx", "valid", F.transform("_v", lambda x: x / F.col("_n")).alias("vec"))
     other = rows.withColumn("frame_idx", F.col("frame_idx") + shift)
     return V.lag_profile(rows, other, "clip", "frame_idx", "vec", "valid", 8)

@@ -16,14 +16,17 @@ from corpuslens.sources import tables as S
 from corpuslens.streaming import ingest as ST
 
 
-@query("media_listing", "SELECT lang, source, true AS has_bytes FROM documents GROUP BY lang, source")
+@query(
+    "media_listing",
+    "SELECT lang, source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS n_bytes FROM documents GROUP BY lang, source",  # a line feed after each text
+)
 def media_listing(t):
     """Text written per language and source, listed back by folder."""
     out = workspace(t.spark, "media")
     t.documents.select("lang", "source", "text").write.partitionBy("lang", "source").text(out)
     files = L.list_media(t.spark, out, ("mp4", "txt"))
     folder = [F.regexp_extract("path", f"/{c}=([^/]+)/", 1).alias(c) for c in ("lang", "source")]
-    return files.groupBy(*folder).agg((F.sum("length") > 0).alias("has_bytes"))
+    return files.groupBy(*folder).agg(F.sum("length").alias("n_bytes"))
 
 
 MANIFEST = f"""SELECT lpad(CAST(doc_id AS STRING), 9, '0') AS key, path, {CAT} AS category, lang AS identity_group, (lower({CAT}) LIKE '%fakevideo%')::INT AS video_label,
