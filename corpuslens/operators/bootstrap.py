@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslens.functions.hashing import MIX_A, MIX_B, MIX_MASK, MIX_STEP
+from corpuslens.functions.hashing import MIX_A, MIX_B, MIX_MASK, MIX_STEP, id60
 from corpuslens.functions.numeric import ratio
 from corpuslens.operators.metrics import auc_from_scores
 from corpuslens.plans.prefix import bucket_side, cut_bucket, cut_points
@@ -53,8 +53,8 @@ def with_poisson_weight(df: DataFrame, ident: str, replicate: str, out: str = "w
     return df.withColumn(out, w).drop("_h")
 
 
-def _weights(ident: np.ndarray, n_boot: int) -> np.ndarray:
-    """(rows, n_boot) weights; the same draws as :func:`with_poisson_weight`.
+def _uniform_bits(ident: np.ndarray, n_boot: int) -> np.ndarray:
+    """(rows, n_boot) numbers of 31 bits; the same as in :func:`with_poisson_weight`.
 
     Unsigned 32-bit products wrap, which leaves their low 31 bits intact.
     """
@@ -69,12 +69,45 @@ def _weights(ident: np.ndarray, n_boot: int) -> np.ndarray:
     h *= np.uint32(MIX_B)
     h &= mask
     h ^= h >> np.uint32(16)
+    return h
+
+
+def _weights(ident: np.ndarray, n_boot: int) -> np.ndarray:
+    """(rows, n_boot) weights; the same draws as :func:`with_poisson_weight`."""
+    h = _uniform_bits(ident, n_boot)
     w = np.zeros(h.shape, dtype=np.int8)
     for cut in POISSON_CDF:
         w += h >= np.uint32(cut)
     return w
 
 
+def poisson_cdf(n: int) -> tuple[int, np.ndarray]:
+    """(first, cdf): P(X <= first), P(X <= first + 1), ... of Poisson(n), where it differs from 0 and 1.
+
+    Beyond 12 deviations and 12 on both sides the tails are below what a
+    31-bit number can tell from 0 and 1, so draws there take the last value.
+    """
+    reach = int(12 * math.sqrt(n)) + 12
+    first = max(0, n - reach)
+    k = np.arange(first, n + reach + 1)
+    log_factorial = np.array([math.lgamma(x + 1) for x in k.tolist()])
+    return first, np.cumsum(np.exp(k * math.log(n) - n - log_factorial))
+
+
+def _draws(ident: np.ndarray, n: np.ndarray, n_boot: int) -> np.ndarray:
+    """(rows, n_boot) weights: Poisson(1) for a row that stands for itself, Poisson(n) for one that stands for n."""
+    single = n == 1
+    if single.all():
+        return _weights(ident, n_boot).astype(np.float32)
+    out = np.zeros((len(ident), n_boot))
+    out[single] = _weights(ident[single], n_boot)
+    for i in np.flatnonzero(~single).tolist():
+        first, cdf = poisson_cdf(int(n[i]))
+        u = _uniform_bits(ident[i : i + 1], n_boot)[0] / float(MIX_MASK + 1)
+        out[i] = first + np.minimum(np.searchsorted(cdf, u, side="right"), len(cdf) - 1)
+    return out
+
+
 def _tie_blocks(score: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(start, end, tie starts) over blocks that never cut a tie group."""
     starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
@@ -86,15 +119,15 @@ def _tie_blocks(score: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         i = j
 
 
-def _tie_sums(y: np.ndarray, ident: np.ndarray, starts: np.ndarray, n_boot: int) -> tuple[np.ndarray, np.ndarray]:
+def _tie_sums(y: np.ndarray, ident: np.ndarray, n: np.ndarray, starts: np.ndarray, n_boot: int) -> tuple[np.ndarray, np.ndarray]:
     """Positive and negative weight per tie group; sums are small and exact."""
     sign = np.stack([y == 1, y == 0]).astype(np.float32)
     if len(starts) == 1:  # may be longer than a block: its weights are drawn a block at a time
         both = np.zeros((2, n_boot))
         for i in range(0, len(y), BLOCK):
-            both += sign[:, i : i + BLOCK] @ _weights(ident[i : i + BLOCK], n_boot).astype(np.float32)
+            both += sign[:, i : i + BLOCK] @ _draws(ident[i : i + BLOCK], n[i : i + BLOCK], n_boot)
         return both[:1], both[1:]
-    w = _weights(ident, n_boot).astype(np.float32)
+    w = _draws(ident, n, n_boot)
     p, n = w * sign[0][:, None], w * sign[1][:, None]
     if len(starts) < len(y):
         ends = np.append(starts[1:], len(y)) - 1
@@ -109,13 +142,13 @@ class _AucTotals:
         self.n_boot = n_boot
         self.pos, self.neg, self.wins = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
 
-    def add(self, score, y, ident):
+    def add(self, score, y, ident, n):
         for a, b, starts in _tie_blocks(score):
-            p, n = _tie_sums(y[a:b], ident[a:b], starts, self.n_boot)
-            below = np.cumsum(n, axis=0) - n + self.neg
-            self.wins += (p * (below + n / 2.0)).sum(axis=0)
+            p, n_ = _tie_sums(y[a:b], ident[a:b], n[a:b], starts, self.n_boot)
+            below = np.cumsum(n_, axis=0) - n_ + self.neg
+            self.wins += (p * (below + n_ / 2.0)).sum(axis=0)
             self.pos += p.sum(axis=0)
-            self.neg += n.sum(axis=0)
+            self.neg += n_.sum(axis=0)
 
     def result(self):
         return self.pos, self.neg, self.wins
@@ -129,29 +162,125 @@ class _YoudenBest:
         self.tp, self.fp, self.pos, self.neg = (np.array(v, dtype=float) for v in header)
         self.best, self.at = np.full(n_boot, -np.inf), np.full(n_boot, np.nan)
 
-    def add(self, score, y, ident):
+    def add(self, score, y, ident, n):
         for a, b, starts in _tie_blocks(score):
-            p, n = _tie_sums(y[a:b], ident[a:b], starts, self.n_boot)
-            tp, fp = self.tp - (np.cumsum(p, axis=0) - p), self.fp - (np.cumsum(n, axis=0) - n)
+            p, n_ = _tie_sums(y[a:b], ident[a:b], n[a:b], starts, self.n_boot)
+            tp, fp = self.tp - (np.cumsum(p, axis=0) - p), self.fp - (np.cumsum(n_, axis=0) - n_)
             with np.errstate(divide="ignore", invalid="ignore"):
                 j = tp / self.pos - fp / self.neg
-            j[(p + n == 0) | ~np.isfinite(j)] = -np.inf
+            j[(p + n_ == 0) | ~np.isfinite(j)] = -np.inf
             # Ascending scores: the last maximum is the highest threshold.
             last = j.shape[0] - 1 - np.argmax(j[::-1], axis=0)
             top = np.take_along_axis(j, last[None, :], axis=0)[0]
             better = (top >= self.best) & np.isfinite(top)
             self.best = np.where(better, top, self.best)
             self.at = np.where(better, score[a:b][starts][last], self.at)
-            self.tp, self.fp = self.tp - p.sum(axis=0), self.fp - n.sum(axis=0)
+            self.tp, self.fp = self.tp - p.sum(axis=0), self.fp - n_.sum(axis=0)
 
     def result(self):
         return self.best, self.at
 
 
+class Metric:
+    """A metric as a fold over the score order, of ``size`` vectors with an entry per replicate.
+
+    ``add`` takes the next distinct scores, rising, with the positive and the
+    negative weight of each in every replicate; ``merge`` puts a state before
+    one of higher scores (or of the same score, if ``add`` saw nothing else);
+    ``result`` has a value per replicate, NaN where there is none.
+    """
+
+    size = 1
+
+    def init(self, n_boot: int) -> np.ndarray:
+        return np.zeros((self.size, n_boot))
+
+    def add(self, state: np.ndarray, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def merge(self, lower: np.ndarray, higher: np.ndarray) -> np.ndarray:
+        return lower + higher
+
+    def result(self, state: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+
+class Brier(Metric):
+    """Mean squared distance of the score and the label."""
+
+    size = 2
+
+    def add(self, state, score, pos, neg):
+        loss = ((1 - score) ** 2) @ pos + score**2 @ neg
+        return state + np.stack([loss, (pos + neg).sum(axis=0)])
+
+    def result(self, state):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return state[0] / state[1]
+
+
+class BalancedAccuracy(Metric):
+    """Mean recall of both classes where scores from ``threshold`` on are positive."""
+
+    size = 4
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def add(self, state, score, pos, neg):
+        up = score >= self.threshold
+        return state + np.stack([pos[up].sum(axis=0), pos.sum(axis=0), neg[~up].sum(axis=0), neg.sum(axis=0)])
+
+    def result(self, state):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (state[0] / state[1] + state[2] / state[3]) / 2
+
+
+def _folding(metric: Metric) -> type:
+    class Folding:
+        def __init__(self, n_boot: int, header: tuple):
+            self.n_boot, self.state = n_boot, metric.init(n_boot)
+
+        def add(self, score, y, ident, n):
+            for a, b, starts in _tie_blocks(score):
+                pos, neg = _tie_sums(y[a:b], ident[a:b], n[a:b], starts, self.n_boot)
+                self.state = metric.add(self.state, score[a:b][starts], pos, neg)
+
+        def result(self):
+            return (self.state.ravel(),)
+
+    return Folding
+
+
+def _merged(metric: Metric, by: list[str], n_boot: int) -> Callable:
+    """mapInPandas function merging the states of each group, which come in order, one after another."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+
+        def row() -> pd.DataFrame:
+            value = metric.result(state)
+            return pd.DataFrame({**{c: [v] for c, v in zip(by, key)}, "values": [value]})
+
+        for frame in frames:
+            for *this, raw in zip(*[frame[c] for c in by], frame["state"], strict=True):
+                now = np.asarray(raw, float).reshape(metric.size, n_boot)
+                if state is not None and this == key:
+                    state = metric.merge(state, now)
+                else:
+                    if state is not None:
+                        yield row()
+                    key, state = this, now
+        if state is not None:
+            yield row()
+
+    return run
+
+
 def _stream(state_type: type, keys: list[str], out: list[str], headers: list[str], n_boot: int) -> Callable:
     """mapInPandas function folding each sorted key segment into one row."""
     bucket_at = keys.index("bucket")
-    cols = [*keys, "score", "y", "ident", *headers]
+    cols = [*keys, "score", "y", "ident", "n", *headers]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] | None = None
@@ -176,14 +305,14 @@ def _stream(state_type: type, keys: list[str], out: list[str], headers: list[str
             for k in data[: len(keys)]:
                 change[1:] |= k[1:] != k[:-1]
             cuts = np.append(np.flatnonzero(change), size)
-            score, y, ident = data[len(keys) : len(keys) + 3]
+            score, y, ident, n = data[len(keys) : len(keys) + 4]
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 this = tuple(k[s] for k in data[: len(keys)])
                 if this != key:
                     if state is not None:
                         done.append((*key, *state.result()))
                     key = this
-                    state = state_type(n_boot, tuple(h[s] for h in data[len(keys) + 3 :]))
+                    state = state_type(n_boot, tuple(h[s] for h in data[len(keys) + 4 :]))
                     s += bool(headers)
                 if e == size and s < e and this[bucket_at] % 2 == 0:
                     # The last tie group may continue in the next batch.  (In a
@@ -191,11 +320,11 @@ def _stream(state_type: type, keys: list[str], out: list[str], headers: list[str
                     cut = s + int(np.searchsorted(score[s:e], score[e - 1], side="left"))
                     held, e = [d[cut:e] for d in data], cut
                 if s < e:
-                    state.add(score[s:e], y[s:e], ident[s:e])
+                    state.add(score[s:e], y[s:e], ident[s:e], n[s:e])
             if done:
                 yield flush()
         if held is not None:
-            state.add(*held[len(keys) : len(keys) + 3])
+            state.add(*held[len(keys) : len(keys) + 4])
         if state is not None:
             done.append((*key, *state.result()))
             yield flush()
@@ -203,9 +332,26 @@ def _stream(state_type: type, keys: list[str], out: list[str], headers: list[str
     return run
 
 
-def _bucketed(df: DataFrame, y: str, score: str, ident: str, by: Sequence[str]) -> DataFrame:
+def compacted(df: DataFrame, tag: str = "boot", seed: int = 42, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """(by, score, y, n, ident): a row per distinct score and label, which stands for n rows.
+
+    With it a replicate draws Poisson(n) once for all n, in law the same as n
+    draws of Poisson(1), so the cost follows the distinct scores.  The
+    identity is a pure function of group, score and label.
+    """
+    value = F.col(score).cast("double")
+    rows = df.select(*by, F.when(value == 0, F.lit(0.0)).otherwise(value).alias("score"), F.col(y).cast("int").alias("y"))
+    ties = rows.groupBy(*by, "score", "y").agg(F.count(F.lit(1)).alias("n"))
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
+    return ties.withColumn("ident", id60(tag, seed, *names, F.round("score", 9).cast("decimal(38,9)"), "y"))
+
+
+def _bucketed(df: DataFrame, y: str, score: str, ident: str, by: Sequence[str], n: str | None = None) -> DataFrame:
     side = bucket_side(df.sparkSession)
-    rows = df.select(*by, F.col(score).cast("double").alias("score"), F.col(y).cast("int").alias("y"), F.col(ident).alias("ident"))
+    count = F.lit(1).cast("bigint") if n is None else F.col(n).cast("bigint")
+    rows = df.select(
+        *by, F.col(score).cast("double").alias("score"), F.col(y).cast("int").alias("y"), F.col(ident).alias("ident"), count.alias("n")
+    )
     cut = rows.withColumn("_cuts", cut_points(rows, "score", side, MIN_ROWS))
     below = cut_bucket(F.col("score"), F.col("_cuts"), side)
     upto = cut_bucket(F.col("score"), F.col("_cuts"), side, inclusive=True)
@@ -215,7 +361,7 @@ def _bucketed(df: DataFrame, y: str, score: str, ident: str, by: Sequence[str])
     cut = cut.withColumn("_below", below).withColumn("_same", upto - F.col("_below"))
     bucket = 2 * F.col("_below") + F.least(F.col("_same"), F.lit(1))
     salt = F.pmod(F.col("ident"), F.greatest(F.col("_same"), F.lit(1)))
-    return cut.select(*by, "score", "y", "ident", bucket.cast("int").alias("bucket"), salt.cast("int").alias("salt"))
+    return cut.select(*by, "score", "y", "ident", "n", bucket.cast("int").alias("bucket"), salt.cast("int").alias("salt"))
 
 
 def _tasks(df: DataFrame) -> int:
@@ -241,11 +387,14 @@ def _bucket_totals(rows: DataFrame, by: Sequence[str], n_boot: int) -> DataFrame
 
 
 def bootstrap_auc(
-    df: DataFrame, ident: str, n_boot: int = 2000, y: str = "y", score: str = "score", by: Sequence[str] = ()
+    df: DataFrame, ident: str, n_boot: int = 2000, y: str = "y", score: str = "score", by: Sequence[str] = (), n: str | None = None
 ) -> DataFrame:
-    """(by, replicate, value): AUC per replicate; single-class ones are absent."""
+    """(by, replicate, value): AUC per replicate; single-class ones are absent.
+
+    ``n`` names the number of rows that a row stands for; see :func:`compacted`.
+    """
     by = list(by)
-    totals = _bucket_totals(_bucketed(df, y, score, ident, by), by, n_boot)
+    totals = _bucket_totals(_bucketed(df, y, score, ident, by, n), by, n_boot)
     # One row per bucket and replicate: bounded by the bucket count.
     before = W.partitionBy(*by, "replicate").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     total = (
@@ -257,11 +406,11 @@ def bootstrap_auc(
 
 
 def bootstrap_youden(
-    df: DataFrame, ident: str, n_boot: int = 200, y: str = "y", score: str = "score", by: Sequence[str] = ()
+    df: DataFrame, ident: str, n_boot: int = 200, y: str = "y", score: str = "score", by: Sequence[str] = (), n: str | None = None
 ) -> DataFrame:
     """(by, replicate, value): Youden threshold per replicate."""
     by = list(by)
-    rows = _bucketed(df, y, score, ident, by)
+    rows = cut_lineage(_bucketed(df, y, score, ident, by, n), "bucketed")
     # Read three times below; n_boot rows per bucket, stored once.
     totals = cut_lineage(_bucket_totals(rows, by, n_boot), "totals")
     up = W.partitionBy(*by, "replicate").orderBy("bucket").rowsBetween(W.currentRow, W.unboundedFollowing)
@@ -292,9 +441,9 @@ def bootstrap_youden(
     # batch into floats.
     head = head.select(
         *by, "bucket", F.lit(0).alias("kind"), F.lit(float("-inf")).alias("score"), F.lit(0).alias("y"),
-        F.lit(0).cast("bigint").alias("ident"), *[F.col(f"_v.{x}").alias(x) for x in cols],
+        F.lit(0).cast("bigint").alias("ident"), F.lit(1).cast("bigint").alias("n"), *[F.col(f"_v.{x}").alias(x) for x in cols],
     )
-    body = rows.filter("bucket % 2 = 0").select(*by, "bucket", F.lit(1).alias("kind"), "score", "y", "ident")
+    body = rows.filter("bucket % 2 = 0").select(*by, "bucket", F.lit(1).alias("kind"), "score", "y", "ident", "n")
     keys = [*by, "bucket"]
     placed = (
         head.unionByName(body, allowMissingColumns=True)
@@ -311,6 +460,30 @@ def bootstrap_youden(
     return top.select(*by, "replicate", F.col("_m.at").alias("value"))
 
 
+def bootstrap_fold(
+    df: DataFrame, ident: str, metric: Metric, n_boot: int = 2000, y: str = "y", score: str = "score", by: Sequence[str] = (),
+    n: str | None = None,
+) -> DataFrame:
+    """(by, replicate, value) of a metric that folds over the score order; see :class:`Metric`.
+
+    Every task folds its score buckets to states of ``metric.size`` vectors,
+    and a group's states are merged in order as they stream by: no row per
+    replicate anywhere, and the shuffle is bounded by groups, buckets and
+    replicates, whether scores repeat or not.
+    """
+    by = list(by)
+    rows = _bucketed(df, y, score, ident, by, n)
+    keys = [*by, "bucket", "salt"]
+    placed = rows.repartition(_tasks(rows), *keys).sortWithinPartitions(*keys, "score")
+    states = placed.mapInPandas(_stream(_folding(metric), keys, ["state"], [], n_boot), _schema(rows, keys, ["state"]))
+    groups = by or ["_all"]
+    states = states if by else states.withColumn("_all", F.lit(0))
+    ordered = states.repartition(*groups).sortWithinPartitions(*groups, "bucket", "salt")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in states.select(*groups).schema)
+    values = ordered.mapInPandas(_merged(metric, groups, n_boot), f"{kinds}, values array<double>")
+    return values.select(*by, F.posexplode("values").alias("replicate", "value")).filter(~F.isnan("value"))
+
+
 def _tie_vectors(keys: list[str], n_boot: int):
     """Blocks of rows to one row of ``keys`` and weight vector per tie of a block."""
 
@@ -379,10 +552,10 @@ def percentile_interval(values: DataFrame, by: Sequence[str] = (), alpha: float
 
 def bootstrap_ci(
     df: DataFrame, ident: str, n_boot: int = 2000, alpha: float = 0.05, y: str = "y", score: str = "score",
-    by: Sequence[str] = (),
+    by: Sequence[str] = (), n: str | None = None,
 ) -> DataFrame:
     """(by, lo, hi, n_valid): percentile interval of the AUC."""
-    return percentile_interval(bootstrap_auc(df, ident, n_boot, y, score, by), by, alpha)
+    return percentile_interval(bootstrap_auc(df, ident, n_boot, y, score, by, n), by, alpha)
 
 
 def stable_threshold(

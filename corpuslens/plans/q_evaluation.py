@@ -366,14 +366,20 @@ def smoothed_labels(t):
 # ---- bootstrap ---------------------------------------------------------------
 
 
-def weights_sql(src: str, n_boot: int) -> str:
-    """(rows of src).*, replicate, w: the same draws in SQL."""
-    cuts = " + ".join(f"(u >= {cut})::INT" for cut in B.POISSON_CDF)
+def bits_sql(rows: str, n_boot: int) -> str:
+    """(columns of rows, which have ident), replicate, u: numbers of 31 bits."""
     return f"""
-      SELECT *, {cuts} AS w FROM (SELECT *, xor(h3, h3 >> 16) AS u FROM (SELECT *, (xor(xor(h2, hi), h2 >> 13) * {MIX_B}) & {MIX_MASK} AS h3
+      SELECT *, xor(h3, h3 >> 16) AS u FROM (SELECT *, (xor(xor(h2, hi), h2 >> 13) * {MIX_B}) & {MIX_MASK} AS h3
       FROM (SELECT *, (xor(h1, h1 >> 15) * {MIX_A}) & {MIX_MASK} AS h2 FROM (
         SELECT s.*, r.replicate, xor(ident & {MIX_MASK}, ((r.replicate + 1) * {MIX_STEP}) & {MIX_MASK}) AS h1, (ident >> 31) & {MIX_MASK} AS hi
-        FROM (SELECT *, ('0x' || substr(md5('boot:42:' || id), 1, 15))::BIGINT AS ident FROM {src}) s, range({n_boot}) r(replicate)))))"""
+        FROM ({rows}) s, range({n_boot}) r(replicate))))"""
+
+
+def weights_sql(src: str, n_boot: int) -> str:
+    """(rows of src).*, replicate, w: the same draws in SQL."""
+    cuts = " + ".join(f"(u >= {cut})::INT" for cut in B.POISSON_CDF)
+    rows = f"SELECT *, ('0x' || substr(md5('boot:42:' || id), 1, 15))::BIGINT AS ident FROM {src}"
+    return f"SELECT *, {cuts} AS w FROM ({bits_sql(rows, n_boot)})"
 
 
 def boot_auc_sql(src: str, n_boot: int, by: str = "") -> str:
@@ -412,6 +418,42 @@ def bootstrap_ci(t):
     return parts[0].unionByName(parts[1])
 
 
+def ties_auc_sql(src: str, n_boot: int) -> str:
+    return f"""
+      WITH s AS (SELECT DISTINCT count(*) AS n FROM {src} GROUP BY score, y),
+      k AS (SELECT n, unnest(range(greatest(0, n - (floor(12 * sqrt(n))::BIGINT + 12)), n + floor(12 * sqrt(n))::BIGINT + 13)) AS k FROM s),
+      cdf AS (SELECT n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS p FROM k),
+      steps AS (SELECT n, min(k) AS first_k, list(p ORDER BY k) AS ps FROM cdf GROUP BY n),
+      h AS ({bits_sql(f"SELECT *, ('0x' || substr(md5('boot:42:' || score::DECIMAL(38,9) || ':' || y), 1, 15))::BIGINT AS ident FROM (SELECT score, y, count(*) AS n FROM {src} GROUP BY score, y)", n_boot)}),
+      w AS (SELECT score, y, replicate, first_k + least(len(list_filter(ps, lambda p: p <= u / {MIX_MASK + 1}.0::DOUBLE)), len(ps) - 1) AS w FROM h JOIN steps USING (n))
+      SELECT replicate, (sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0)::DOUBLE)::DOUBLE AS value FROM (
+        SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below
+        FROM (SELECT replicate, score, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM w GROUP BY replicate, score)) GROUP BY replicate"""
+
+
+@query(
+    "bootstrap_ties",
+    f"""SELECT round(quantile_cont(value, 0.025), 9) AS lo, round(quantile_cont(value, 0.975), 9) AS hi, count(*)::BIGINT AS n_valid
+        FROM ({ties_auc_sql('scored_ties', BOOT_CI)}) WHERE value IS NOT NULL""",
+)
+def bootstrap_ties(t):
+    """The interval of ``bootstrap_ci`` with one draw per distinct score, label and replicate."""
+    ci = B.bootstrap_ci(B.compacted(t.scored_ties), "ident", BOOT_CI, n="n")
+    return ci.select(rounded("lo", 9).alias("lo"), rounded("hi", 9).alias("hi"), "n_valid")
+
+
+@query(
+    "bootstrap_brier",
+    f"""SELECT dataset, replicate::INT AS replicate, round((sum(w * (p - y) * (p - y)) / sum(w))::DOUBLE, 9) AS value
+        FROM ({weights_sql('scored', BOOT_THR)}) GROUP BY dataset, replicate HAVING sum(w) > 0""",
+)
+def bootstrap_brier(t):
+    """A folded metric on scores that hardly repeat."""
+    src = t.scored.withColumn("_id", boot_id())
+    out = B.bootstrap_fold(src, "_id", B.Brier(), BOOT_THR, score="p", by=["dataset"])
+    return out.select("dataset", "replicate", rounded("value", 9).alias("value"))
+
+
 @query(
     "bootstrap_metric",
     f"""SELECT replicate::INT AS replicate, round((sum(w * (y = (score >= 0.05)::INT)::INT * (1 - y))::DOUBLE / sum(w * (1 - y))

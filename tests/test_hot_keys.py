@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import identity, pairing, splits
-from corpuslens.plans.prefix import with_group_stats
+from corpuslens.plans.prefix import running_totals, salted_join, with_group_stats
 from corpuslens.sources import sinks, tables
 from corpuslens.streaming.ingest import ingest_new
 
@@ -36,6 +36,26 @@ def test_group_statistics(no_broadcast):
     assert largest_share(out) < 0.15
 
 
+def test_null_keys(no_broadcast):
+    rows = hot_rows(no_broadcast).withColumn("k", F.when(F.col("k") != 7, F.col("k")))  # four fifths have no key
+    side = no_broadcast.range(0, 60_000, 3).select(F.col("id").alias("k"), F.lit(1).alias("found"))
+    out = salted_join(rows, side, ["k"], "left")
+    plain = rows.join(side, ["k"], "left")
+    assert out.count() == 60_000 and out.exceptAll(plain.select(*out.columns)).count() == 0
+    assert largest_share(out) < 0.15
+    assert salted_join(rows, side, ["k"]).count() == plain.filter("found = 1").count()
+
+
+def test_ranges_of_a_hot_group(no_broadcast):
+    rows = no_broadcast.range(60_000).select(F.when(F.col("id") % 10 < 8, "hot").otherwise(F.col("id").cast("string")).alias("g"), F.col("id").alias("x"), F.lit(1).alias("w"))
+    rows = rows.withColumn("g", F.when(F.col("x") % 100 != 99, F.col("g")))  # and a null group
+    out = running_totals(rows, "x", ["w"], ["g"])
+    assert largest_share(out) < 0.15
+    hot = out.filter("g = 'hot'").orderBy("x").collect()
+    assert [r.w_before for r in hot] == list(range(48_000)) and {r.w_total for r in hot} == {48_000}
+    assert [r.w_before for r in out.filter("g is null").orderBy("x").collect()] == list(range(600))
+
+
 def test_pairs(no_broadcast):
     rows = hot_rows(no_broadcast).select(F.col("id").cast("string").alias("key"), F.col("k").alias("target_id"), (F.col("id") % 10 != 9).cast("int").alias("label"))
     rows = rows.unionByName(no_broadcast.createDataFrame([("real", 7, 0)], rows.schema))
