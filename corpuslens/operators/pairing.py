@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.functions.hashing import hash_int
 from corpuslens.plans.prefix import salted_join, seeded_rank
 from corpuslens.session import cut_lineage
 
@@ -96,6 +97,31 @@ def negative_partners(
     )
 
 
+def batch_negatives(
+    plan: DataFrame, rows: DataFrame, key: str, group: str, has_audio: str, seed: int = 42
+) -> DataFrame:
+    """(batch, slot, key, negative_key, source): a contrastive partner inside the batches of :func:`batch_plan`.
+
+    Every batch is turned by a seeded number of slots, so each row meets
+    another one of its batch, and each is met once.  A partner of another group
+    that has audio is used; otherwise, and in a batch of one row, the row's own
+    time-shifted window is (``sequences.shifted_windows``), as ``source`` says.
+    ``rows`` has one row per key.  A batch is bounded, and the joins are on
+    (batch, slot) and on the key, so no key is hot.
+    """
+    known = plan.join(rows.select(key, group, has_audio), key)
+    sizes = plan.groupBy("batch").agg((F.max("slot") + 1).cast("bigint").alias("_size"))
+    turn = F.when(F.col("_size") > 1, 1 + hash_int("turn", seed, F.greatest(F.col("_size") - 1, F.lit(1)), "batch")).otherwise(F.lit(0))
+    placed = known.join(sizes, "batch").withColumn("_other", F.pmod(F.col("slot") + turn, F.col("_size")).cast("int"))
+    partner = known.select("batch", F.col("slot").alias("_other"), F.col(key).alias("_k"), F.col(group).alias("_g"), F.col(has_audio).alias("_a"))
+    ok = (F.col("_g") != F.col(group)) & (F.col("_a") == 1)
+    return placed.join(partner, ["batch", "_other"], "left").select(
+        "batch", "slot", key,
+        F.when(ok, F.col("_k")).otherwise(F.col(key)).alias("negative_key"),
+        F.when(ok, "cross_identity").otherwise("same_clip_shift").alias("source"),
+    )
+
+
 def negative_sources(partners: DataFrame) -> DataFrame:
     return partners.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 

@@ -110,17 +110,17 @@ def pair_rank_zip(t):
     return PR.pair_by_rank(t.pairs, "key", label="label")
 
 
-@query(
-    "batch_plan",
-    f"""
+BATCH_PLAN = f"""
     WITH z AS (SELECT coalesce(real_key, '') AS a, coalesce(fake_key, '') AS b, (real_key IS NOT NULL AND fake_key IS NOT NULL)::INT AS pair FROM ({ZIP})),
     s AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY md5('epoch3:42:' || a || ':' || b), a, b) AS r, sum(pair) OVER () AS np, sum(pair + 1) OVER () AS n FROM z),
     f AS (SELECT a AS key, 2 * (r - 1) AS pos, n FROM s WHERE pair = 1 UNION ALL SELECT b, 2 * (r - 1) + 1, n FROM s WHERE pair = 1
           UNION ALL SELECT greatest(a, b), 2 * np + r - 1, n FROM s WHERE pair = 0),
     raw AS (SELECT key, (pos // 32)::BIGINT AS rb, (pos % 32)::INT AS slot, (n // 32)::BIGINT AS nb FROM f),
     mv AS (SELECT rb, row_number() OVER (ORDER BY md5('batches3:42:' || rb), rb) - 1 AS to_b FROM (SELECT DISTINCT rb FROM raw WHERE rb < nb))
-    SELECT coalesce(to_b, rb)::BIGINT AS batch, slot, key FROM raw LEFT JOIN mv USING (rb)""",
-)
+    SELECT coalesce(to_b, rb)::BIGINT AS batch, slot, key FROM raw LEFT JOIN mv USING (rb)"""
+
+
+@query("batch_plan", BATCH_PLAN)
 def batch_plan(t):
     return PR.batch_plan(PR.pair_by_rank(t.pairs, "key", label="label"), 32, epoch=3, drop_last=False)
 
@@ -137,6 +137,21 @@ def negative_assignment(t):
     return PR.negative_partners(t.pairs, "key", "identity_group", "has_audio", 64)
 
 
+@query(
+    "batch_negatives",
+    f"""
+    WITH p AS ({BATCH_PLAN}), n AS (SELECT batch, count(*) AS size FROM p GROUP BY batch),
+    i AS (SELECT p.*, q.identity_group AS g, q.has_audio AS a, size,
+                 CASE WHEN size > 1 THEN 1 + ('0x' || substr(md5('turn:42:' || p.batch), 1, 8))::BIGINT % greatest(size - 1, 1) ELSE 0 END AS turn
+          FROM p JOIN pairs q USING (key) JOIN n USING (batch))
+    SELECT x.batch, x.slot, x.key, CASE WHEN y.g <> x.g AND y.a = 1 THEN y.key ELSE x.key END AS negative_key,
+           CASE WHEN y.g <> x.g AND y.a = 1 THEN 'cross_identity' ELSE 'same_clip_shift' END AS source
+    FROM i x JOIN i y ON y.batch = x.batch AND y.slot = (x.slot + x.turn) % x.size""",
+)
+def batch_negatives(t):
+    return PR.batch_negatives(batch_plan(t), t.pairs, "key", "identity_group", "has_audio")
+
+
 @query("negative_sources", f"SELECT source, count(*)::BIGINT AS n FROM ({NEG}) GROUP BY source")
 def negative_sources(t):
     return PR.negative_sources(PR.negative_partners(t.pairs, "key", "identity_group", "has_audio", 64))

@@ -86,6 +86,20 @@ def feature_cache(t):
     return t.spark.read.parquet(out).select("key", "corpus", F.size("embedding").alias("n"))
 
 
+@query(
+    "run_records",
+    "SELECT run::BIGINT AS seed, count(*)::BIGINT AS epochs, max(metric) AS best FROM train_log GROUP BY run",
+)
+def run_records(t):
+    """Record files of several seeds each, read back as a row per seed."""
+    out = workspace(t.spark, "runs")
+    runs = t.train_log.groupBy("run").agg(F.count(F.lit(1)).alias("epochs"), F.max("metric").alias("best"))
+    seed = F.struct(F.col("run").cast("bigint").alias("seed"), "epochs", "best")
+    records = runs.groupBy((F.col("run") % 8).alias("part")).agg(F.to_json(F.struct(F.collect_list(seed).alias("per_seed"))).alias("record"))
+    records.write.partitionBy("part").text(out)
+    return S.read_run_record(t.spark, out).select("seed", "epochs", "best")
+
+
 @query("results_roundtrip", f"SELECT dataset, np::BIGINT + nn::BIGINT AS n, round({AUC_EXPR}, 9) AS auc FROM ({auc_ranks('scored', 'dataset')})")
 def results_roundtrip(t):
     """Results with raw scores attached are stored without them."""

@@ -6,7 +6,7 @@ from corpuslens.operators import sampling as S
 
 
 def rows(spark):
-    data = [(f"{g}-{y}", str(g), str(g), y) for g in range(6) for y in (0, 1)] + [(f"{g}-1", str(g), str(g), 1) for g in range(6, 13)]
+    data = [(f"{g}-{y}", str(g), str(g), y) for g in range(9) for y in (0, 1)] + [(f"{g}-1", str(g), str(g), 1) for g in range(9, 14)]
     return spark.createDataFrame(data, "key string, identity_group string, target_id string, label int")
 
 
@@ -16,22 +16,22 @@ def test_pairs_stay_in_one_batch_and_rows_appear_once(spark, kind):
     pairs = PR.pair_by_rank(df, "key", label="label") if kind == "rank" else PR.pair_by_target(df, "key")
     pairs = pairs.select("real_key", "fake_key")
     matched = [tuple(r) for r in pairs.collect() if r.real_key and r.fake_key]
-    assert len(matched) == 6
+    assert len(matched) == 9
     orders = set()
     for epoch in range(3):
         plan = PR.batch_plan(pairs, 4, epoch=epoch, drop_last=False).collect()
         assert sorted(r.key for r in plan) == sorted(r.key for r in df.collect())
         batch = {r.key: r.batch for r in plan}
         assert all(batch[a] == batch[b] for a, b in matched)
-        assert sorted(set(batch.values())) == list(range(5))  # 19 rows
-        assert sum(r.batch == 4 for r in plan) == 3  # the partial batch stays last
+        assert sorted(set(batch.values())) == list(range(6))  # 23 rows
+        assert sum(r.batch == 5 for r in plan) == 3  # the partial batch stays last
         orders.add(tuple(sorted(batch.items())))
     assert len(orders) == 3
 
 
 def test_drop_last_keeps_full_batches_only(spark):
     plan = PR.batch_plan(PR.pair_by_target(rows(spark), "key"), 4).collect()
-    assert len(plan) == 16 and {r.slot for r in plan} == {0, 1, 2, 3}
+    assert len(plan) == 20 and {r.slot for r in plan} == {0, 1, 2, 3}
 
 
 def test_odd_batch_size_is_rejected(spark):
@@ -77,3 +77,27 @@ def test_quota_counts_after_the_filter(spark):
     df = spark.createDataFrame([(i, i % 2, i >= 20) for i in range(60)], "id int, y int, ok boolean")
     got = S.class_quota(df, ["id"], "y", 15, F.col("ok"), "q").collect()
     assert len(got) == 30 and all(r.ok for r in got)
+
+
+def test_negatives_stay_in_their_training_batch(spark):
+    clips = rows(spark).withColumn("has_audio", (F.col("identity_group") % 3 != 0).cast("int"))
+    plan = PR.batch_plan(PR.pair_by_rank(clips, "key", label="label"), 4, drop_last=False)
+    got = PR.batch_negatives(plan, clips, "key", "identity_group", "has_audio").collect()
+    batch = {r.key: r.batch for r in plan.collect()}
+    audio = {r.key: r.has_audio for r in clips.collect()}
+    assert sorted(r.key for r in got) == sorted(batch)
+    for r in got:
+        assert r.batch == batch[r.key] == batch[r.negative_key]
+        if r.source == "cross_identity":
+            assert audio[r.negative_key] == 1 and r.negative_key.split("-")[0] != r.key.split("-")[0]
+        else:
+            assert r.negative_key == r.key
+    crossed = [r.negative_key for r in got if r.source == "cross_identity"]
+    assert crossed and len(crossed) == len(set(crossed))
+
+
+def test_a_batch_of_one_row_keeps_to_itself(spark):
+    plan = spark.createDataFrame([(0, 0, "a"), (1, 0, "b"), (1, 1, "c")], "batch bigint, slot int, key string")
+    clips = spark.createDataFrame([(k, k, 1) for k in "abc"], "key string, identity_group string, has_audio int")
+    got = {r.key: (r.negative_key, r.source) for r in PR.batch_negatives(plan, clips, "key", "identity_group", "has_audio").collect()}
+    assert got == {"a": ("a", "same_clip_shift"), "b": ("c", "cross_identity"), "c": ("b", "cross_identity")}

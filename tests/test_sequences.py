@@ -95,13 +95,16 @@ def test_linear_resampling_uses_half_pixel_centres(spark):
     assert got == [0.0, 2.5, 7.5, 12.5, 17.5, 22.5, 27.5, 30.0]
 
 
-@pytest.mark.parametrize(
-    "args,want",
-    [((2, 6, 1, 1000.0, 30000.0), None), ((9, 6, 0, 10.0, None), None), ((6, 6, 1, 10.0, None), "patience"),
-     ((0, 6, 1, 30001.0, 30000.0), "time_budget"), ((0, 6, 0, 30001.0, 30000.0), "time_budget"), ((0, 6, 1, 1e9, None), None)],
-)
-def test_stop_rule(spark, args, want):
-    since, patience, phase, elapsed, budget = args
+STOPS = [  # epochs since the best, patience, phase, seconds so far, budget in seconds
+    (0, 3, 1, 5.0, 60.0, None), (2, 3, 1, 5.0, None, None), (3, 3, 1, 5.0, None, "patience"), (8, 3, 1, 59.0, 60.0, "patience"),
+    (3, 3, 0, 5.0, None, None), (40, 3, 0, 59.5, 60.0, None), (1, 3, 1, 61.0, 60.0, "time_budget"), (1, 3, 0, 60.5, 60.0, "time_budget"),
+    (1, 3, 1, 1e12, None, None),
+]
+
+
+@pytest.mark.parametrize("case", STOPS)
+def test_stop_rule(spark, case):
+    since, patience, phase, elapsed, budget, want = case
     col = E.stop_reason(F.lit(since), F.lit(phase), F.lit(elapsed), patience, budget)
     assert spark.range(1).select(col.alias("r")).first().r == want
 
@@ -119,3 +122,28 @@ def test_gates_fail_when_missing_or_nan(spark):
     got = {r.dataset: (r.passed, r.verdict) for r in E.gate_check(gates, res).collect()}
     assert got == {"a": (1, "OK"), "b": (0, "FAIL-INVERTED"), "c": (0, "FAIL"), "d": (0, "SKIP")}
     assert E.all_passed(E.gate_check(gates, res)).first().all_passed == 0
+
+
+def plain_slice(frames, t0, t1, rate, n_out):
+    low, high = max(0, int(np.round(t0 * rate))), min(len(frames), int(np.round(t1 * rate)))
+    cut = frames[low:high] if high > low else frames[:0]
+    if len(cut) < 5:
+        return np.zeros((n_out, frames.shape[1]))
+    at = np.clip((np.arange(n_out) + 0.5) * len(cut) / n_out - 0.5, 0, len(cut) - 1)
+    a = np.floor(at).astype(int)
+    mixed = cut[a] + (at - a)[:, None] * (cut[np.minimum(a + 1, len(cut) - 1)] - cut[a])
+    return (mixed - mixed.mean()) / (mixed.std() + 1e-8)
+
+
+def test_band_slices_equal_slice_resample_and_scaling_one_by_one(spark):
+    rng = np.random.default_rng(4)
+    clips = {"long": rng.normal(size=(90, 3)) + 4, "flat": np.ones((30, 3)), "tiny": rng.normal(size=(4, 3))}
+    spans = [(0.0, 2.0), (-1.0, 0.35), (1.1, 1.4), (2.9, 9.0), (3.5, 3.6), (50.0, 60.0), (2.0, 1.0)]
+    frames = spark.createDataFrame([(c, i, v.tolist()) for c, x in clips.items() for i, v in enumerate(x)], "clip string, k int, v array<double>")
+    windows = spark.createDataFrame([(c, w, *s) for c in [*clips, "missing"] for w, s in enumerate(spans)], "clip string, win int, t0 double, t1 double")
+    got = {(r.clip, r.win, r.j): r.z for r in V.band_slices(windows, frames, "clip", "win", "k", "v", 25.0, 7).collect()}
+    assert len(got) == 4 * len(spans) * 7
+    for c in [*clips, "missing"]:
+        for w, (t0, t1) in enumerate(spans):
+            want = plain_slice(clips.get(c, np.zeros((0, 3))), t0, t1, 25.0, 7)
+            assert np.abs(np.array([got[c, w, j] for j in range(7)]) - want).max() < 1e-6
