@@ -64,9 +64,13 @@ class WaveletTree:
 class FMIndex:
     """An FM-index over passages of word numbers (1 and above), for patterns of up to ``depth`` words."""
 
-    def __init__(self, passages: list[np.ndarray], sigma: int, depth: int = WINDOW):
-        text = np.concatenate([np.append(p, 0) for p in passages])
-        owner = np.repeat(np.arange(len(passages)), [len(p) + 1 for p in passages])
+    def __init__(self, words: np.ndarray, length: np.ndarray, sigma: int, depth: int = WINDOW):
+        """``words`` of all passages one after another, and the number of words of each."""
+        owner = np.repeat(np.arange(len(length)), length + 1)
+        text = np.zeros(len(owner), np.int64)  # a 0 ends each passage
+        inside = np.ones(len(owner), bool)
+        inside[np.cumsum(length + 1) - 1] = False
+        text[inside] = words
         order, group = self._sorted(text, depth)
         self.size, self.depth = len(text), depth
         self.owner = owner[order]
@@ -212,7 +216,8 @@ def _passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         begin = np.flatnonzero(new)
         count = np.diff(np.append(begin, len(at)))
         first, owner = at[begin], doc[begin]
-        texts = [b" ".join(words.strings(a, a + c + WINDOW - 1)).decode("utf-8", "surrogatepass") for a, c in zip(first.tolist(), count.tolist(), strict=True)]
+        begins, ends = words.start[first].tolist(), words.end[first + count + WINDOW - 2].tolist()
+        texts = [b" ".join(words.buffer[a:b].split()).decode("utf-8", "surrogatepass") for a, b in zip(begins, ends, strict=True)]
         yield pd.DataFrame({
             "id": frame["id"].to_numpy()[owner], "key": frame["key"].to_numpy()[owner], "at": first - words.first[owner],
             "windows": count, "anchor": anchor[begin], "passage": texts,
@@ -232,7 +237,7 @@ def _search_shard(frame: pd.DataFrame) -> pd.DataFrame:
     text = text.astype(np.int64) + 1
     length = np.diff(words.first)
     ends = np.cumsum(length)
-    index = FMIndex([text[a:b] for a, b in zip(ends - length, ends, strict=True)], len(names) + 1)
+    index = FMIndex(text, length, len(names) + 1)
     count = length - WINDOW + 1
     low, high = index.matching_windows(text, ends - length, count)
     least = index.least(frame["first"].to_numpy(np.int64), low, high, LAST_ID)
@@ -297,21 +302,19 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 def _without(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in chunks(frames):
-        words = scan(frame["text"].tolist())
-        count = np.diff(words.first)
-        out = []
-        for d, at in enumerate(frame["at"]):
-            strings = words.strings(words.first[d], words.first[d + 1])
+        count, removed, kept = [], [], []
+        for text, at in zip(frame["text"], frame["at"], strict=True):
+            words = (text or "").encode("utf-8", "surrogatepass").split()  # at ASCII white space
+            n = len(words)
             if at is not None and len(at):
-                cover = np.zeros(len(strings) + 1, np.int32)
+                cover = np.zeros(n + 1, np.int32)
                 np.add.at(cover, np.asarray(at), 1)
                 np.add.at(cover, np.asarray(at) + WINDOW, -1)
-                strings = [w for w, c in zip(strings, np.cumsum(cover[:-1]).tolist(), strict=True) if not c]
-            out.append((len(strings), b" ".join(strings)))
-        yield pd.DataFrame({
-            "id": frame["id"], "n_words": count, "n_removed": count - np.array([n for n, _ in out], np.int64),
-            "kept_text": [t.decode("utf-8", "surrogatepass") for _, t in out],
-        })
+                words = [w for w, c in zip(words, np.cumsum(cover[:-1]).tolist(), strict=True) if not c]
+            count.append(n)
+            removed.append(n - len(words))
+            kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+        yield pd.DataFrame({"id": frame["id"], "n_words": count, "n_removed": removed, "kept_text": kept})
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
