@@ -415,8 +415,8 @@ def test_fm_index_counts_and_finds_the_least_owner():
     rng = np.random.default_rng(0)
     for trial in range(8):
         passages = [rng.integers(1, 4, rng.integers(1, 40)) for _ in range(20)]
-        index = substring_dedup.FMIndex(passages, 4, 5)
         length = np.array([len(p) for p in passages])
+        index = substring_dedup.FMIndex(np.concatenate(passages), length, 4, 5)
         ends, count = np.cumsum(length), np.maximum(length - 4, 0)
         text = np.concatenate(passages) if trial % 2 else rng.integers(1, 4, int(length.sum()))
         low, high = index.matching_windows(text, ends - length, count)
