@@ -63,11 +63,22 @@ def cut_lineage(df: DataFrame, name: str = "cut", compression: str = "snappy") -
     return stored
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of any storage that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def stored_at(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder."""
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that ``cut_lineage`` stored, once nothing reads them any more: neither a table still to be written nor a result."""
     for table in tables:
         path = getattr(table, "_stored_path", None)
         if path is not None:
-            context = table.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            files, place = _place(table.sparkSession, path)
+            files.delete(place, True)
