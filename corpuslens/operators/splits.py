@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.hashing import hash_bucket, tag_hash
 from corpuslens.plans.prefix import salted_join, bucket_starts, hash_rank, seeded_rank
+from corpuslens.session import cut_lineage
 
 NAMES = ("train", "val", "test")
+HEAVY_PIECES = 1000  # a group above 1 / pieces of the rows is packed by deficit; there are fewer than pieces
 
 
 def _share_to_split(share: Column, fracs: Sequence[float]) -> Column:
@@ -46,22 +48,83 @@ def assign_groups(
     return placed.select(group, "n", _share_to_split(mid, fracs).alias("split"))
 
 
+def _largest_deficit(groups: Column, fracs: Sequence[float], total: Column) -> Column:
+    """(counts, place) after a walk over sorted (hash, group, n): each goes to the split furthest below its target.
+
+    ``place`` numbers the split of each group from 1; the first of equal splits is taken.
+    """
+    targets = F.array(*[F.lit(f) * total for f in fracs])
+
+    def step(state: Column, item: Column) -> Column:
+        room = F.zip_with(targets, state["counts"], lambda t, c: t - c)
+        k = F.array_position(room, F.array_max(room)).cast("int")
+        counts = F.transform(state["counts"], lambda c, i: c + F.when(i + 1 == k, item["n"]).otherwise(0))
+        return F.struct(counts.alias("counts"), F.concat(state["place"], F.array(k)).alias("place"))
+
+    none = F.array(*[F.lit(0).cast("bigint") for _ in fracs]).alias("counts")
+    return F.aggregate(groups, F.struct(none, F.array().cast("array<int>").alias("place")), step)
+
+
+def pack_groups(
+    sizes: DataFrame, group: str = "identity_group", fracs: Sequence[float] = (0.6, 0.2, 0.2), seed: int = 42
+) -> DataFrame:
+    """(group, n, split): heavy groups by largest deficit, the others by midpoint in the room that is left.
+
+    Groups above 1 / ``HEAVY_PIECES`` of the rows are walked in seeded order,
+    each to the split furthest below its target; there are fewer than
+    ``HEAVY_PIECES``, so one array holds them.  The other groups lie end to end
+    in seeded order on a line that is shared by what the splits still miss; a
+    split that the heavy groups overfill gets none of them.
+    """
+    # Sums, the heavy and the other groups all read it.
+    stored = cut_lineage(sizes.select(group, F.col("n").cast("bigint").alias("n")), "groups")
+    tagged = stored.withColumn("_all", stored.agg(F.sum("n")).scalar()).withColumn("_h", tag_hash("split", seed, group))
+    heavy = F.col("n") * HEAVY_PIECES > F.col("_all")
+    listed = tagged.filter(heavy).agg(
+        F.sort_array(F.collect_list(F.struct("_h", group, "n"))).alias("_groups"), F.max("_all").alias("_all")
+    )
+    walked = listed.withColumn("_end", _largest_deficit(F.col("_groups"), fracs, F.coalesce("_all", F.lit(0))))
+    placed = walked.select(F.inline(F.arrays_zip(F.col("_groups").alias("g"), F.col("_end.place").alias("k")))).select(
+        f"g.{group}", "g.n", F.element_at(F.array(*map(F.lit, NAMES)), F.col("k")).alias("split")
+    )
+    # One row of counts; without heavy groups all are 0.
+    counts = walked.select("_end.counts")
+    room = [F.greatest(F.lit(0.0), F.lit(f) * F.col("_all") - F.get("counts", F.lit(i))) for i, f in enumerate(fracs)]
+    light = tagged.filter(~heavy).withColumn("_bucket", hash_bucket(F.col("_h"), 4))
+    starts = bucket_starts(light, [], "_bucket", {"n": F.sum("n")})
+    inside = W.partitionBy("_bucket").orderBy("_h", group).rowsBetween(W.unboundedPreceding, -1)
+    lined = (
+        light.join(F.broadcast(starts), "_bucket", "left")
+        .withColumn("counts", counts.scalar())
+        .withColumn("_before", F.col("_n_start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .withColumn("_mid", (F.col("_before") + F.col("n") / 2.0) / F.col("n_total"))
+        .withColumn("_room", F.array(*room))
+    )
+    share = F.col("_mid") * (F.get("_room", F.lit(0)) + F.get("_room", F.lit(1)) + F.get("_room", F.lit(2)))
+    train, val = F.get("_room", F.lit(0)), F.get("_room", F.lit(0)) + F.get("_room", F.lit(1))
+    split = F.when(share < train, NAMES[0]).when(share < val, NAMES[1]).otherwise(NAMES[2])
+    return placed.unionByName(lined.select(group, "n", split.alias("split")))
+
+
 def group_split(
     df: DataFrame,
     group: str = "identity_group",
     fracs: Sequence[float] = (0.6, 0.2, 0.2),
     seed: int = 42,
     train_only: str | None = None,
+    greedy: bool = False,
 ) -> DataFrame:
     """``df`` with ``split``; no group of the packed rows spans two splits.
 
     Rows whose ``train_only`` flag is 1 are pinned to train and take no part
     in the packing, so val and test are the same with or without them.
+    ``greedy`` packs by :func:`pack_groups`, whose shares come closer where
+    groups are heavy.
     """
     pinned = F.coalesce(F.col(train_only).cast("int"), F.lit(0)) == 1 if train_only else F.lit(False)
     packed = df.filter(~pinned) if train_only else df
     sizes = packed.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    placed = assign_groups(sizes, group, fracs, seed).select(group, F.col("split").alias("_split"))
+    placed = (pack_groups if greedy else assign_groups)(sizes, group, fracs, seed).select(group, F.col("split").alias("_split"))
     joined = df.join(placed, group, "left")
     return joined.withColumn("split", F.when(pinned, F.lit("train")).otherwise(F.col("_split"))).drop("_split")
 

@@ -38,6 +38,41 @@ def group_split(t):
     return S.group_split(_clips(t)).select("id", "identity_group", "split")
 
 
+# Half of the rows in up to 256 heavy groups, the others in a light group per target.
+MIXED = """SELECT key, CASE WHEN label = 1 THEN 's' || substr(md5(CAST(source_id AS VARCHAR)), 1, 2) ELSE 't' || target_id END AS identity_group
+           FROM pairs"""
+
+
+def pack_sql(src: str, seed: int = 42) -> str:
+    """(identity_group, n, split): heavy groups one after another to the largest deficit, light ones by midpoint."""
+    return f"""
+      WITH RECURSIVE sizes AS (SELECT identity_group, n, sum(n) OVER ()::BIGINT AS total, md5('split:{seed}:' || identity_group) AS h
+                               FROM (SELECT identity_group, count(*) AS n FROM ({src}) GROUP BY 1)),
+      heavy AS (SELECT *, row_number() OVER (ORDER BY h, identity_group) AS i FROM sizes WHERE n * 1000 > total),
+      walk AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0 AS k
+               UNION ALL
+               SELECT i, a + CASE WHEN k = 1 THEN n ELSE 0 END, b + CASE WHEN k = 2 THEN n ELSE 0 END, c + CASE WHEN k = 3 THEN n ELSE 0 END, k
+               FROM (SELECT h.i, h.n, a, b, c,
+                            CASE WHEN 0.6::DOUBLE * total - a >= greatest(0.2::DOUBLE * total - b, 0.2::DOUBLE * total - c) THEN 1
+                                 WHEN 0.2::DOUBLE * total - b >= 0.2::DOUBLE * total - c THEN 2 ELSE 3 END AS k
+                     FROM walk JOIN heavy h ON h.i = walk.i + 1)),
+      room AS (SELECT greatest(0.0::DOUBLE, 0.6::DOUBLE * t - a) AS ra, greatest(0.0::DOUBLE, 0.2::DOUBLE * t - b) AS rb, greatest(0.0::DOUBLE, 0.2::DOUBLE * t - c) AS rc
+               FROM (SELECT arg_max(a, i) AS a, arg_max(b, i) AS b, arg_max(c, i) AS c FROM walk), (SELECT max(total) AS t FROM sizes)),
+      light AS (SELECT identity_group, n, (coalesce(sum(n) OVER (ORDER BY h, identity_group ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2.0::DOUBLE)
+                                          / sum(n) OVER () AS mid FROM sizes WHERE n * 1000 <= total)
+      SELECT identity_group, n, CASE k WHEN 1 THEN 'train' WHEN 2 THEN 'val' ELSE 'test' END AS split FROM heavy JOIN walk USING (i)
+      UNION ALL
+      SELECT identity_group, n, CASE WHEN mid * (ra + rb + rc) < ra THEN 'train' WHEN mid * (ra + rb + rc) < ra + rb THEN 'val' ELSE 'test' END FROM light, room"""
+
+
+@query("group_split_greedy", f"SELECT c.key, c.identity_group, p.split FROM ({MIXED}) c JOIN ({pack_sql(MIXED)}) p USING (identity_group)")
+def group_split_greedy(t):
+    heavy = F.concat(F.lit("s"), F.substring(F.md5(F.col("source_id").cast("string")), 1, 2))
+    group = F.when(F.col("label") == 1, heavy).otherwise(F.concat(F.lit("t"), F.col("target_id").cast("string")))
+    rows = t.pairs.select("key", group.alias("identity_group"))
+    return S.group_split(rows, greedy=True).select("key", "identity_group", "split")
+
+
 PINNED = f"""WITH c AS ({CLIPS}), p AS (SELECT * FROM c WHERE train_only = 0), a AS ({assign_sql('p')})
              SELECT c.*, coalesce(a.split, 'train') AS split FROM c LEFT JOIN a USING (identity_group)"""
 
