@@ -17,6 +17,9 @@ GRAM = 3  # words in an anchor
 SHARD_WORDS = 400_000  # words of an FM-index, and of one anchor before its windows are dealt out singly
 
 
+_LOWER_BITS = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class BitVector:
     """Packed bits with the number of ones before each 64-bit word."""
 
@@ -30,8 +33,7 @@ class BitVector:
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones in the first ``i`` bits."""
         word = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+        return self.before[word] + np.bitwise_count(self.words[word] & _LOWER_BITS[i & 63])
 
 
 class WaveletTree:
@@ -53,7 +55,7 @@ class WaveletTree:
         for k in range(self.depth):
             ones = self.levels[k].rank(i)
             up = (symbol >> (self.depth - 1 - k)) & 1
-            i = np.where(up == 1, self.zeros[k] + ones, i - ones)
+            i = np.where(up, self.zeros[k] + ones, i - ones)
         return i
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -75,7 +77,7 @@ class FMIndex:
         self.size, self.depth = len(text), depth
         self.owner = owner[order]
         self.tree = WaveletTree(text[order - 1], sigma)
-        self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:-1]
+        self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         # The rows that share their first depth - 1 words: what remains when a match drops its last word.
         new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(np.append(new, self.size))
@@ -109,13 +111,15 @@ class FMIndex:
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of ``symbol`` followed by what [low, high) begins with."""
-        base = self.less[symbol]
-        return base + self.tree.rank(symbol, low), base + self.tree.rank(symbol, high)
+        base, n = self.less[symbol], len(symbol)
+        both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return base + both[:n], base + both[n:]
 
     def search(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the ``depth`` words from each place ``at`` of ``text``."""
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), self.size, np.int64)
-        for j in range(self.depth - 1, -1, -1):
+        last = text[at + self.depth - 1]
+        low, high = self.less[last], self.less[last + 1]
+        for j in range(self.depth - 2, -1, -1):
             low, high = self.step(text[at + j], low, high)
         return low, high
 
@@ -172,15 +176,17 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gram, _ = words.runs(hashes, GRAM)
     length = np.minimum(words.end - words.start, 40).astype(np.float32)
     width = sum(length[j : j + len(gram)] for j in range(GRAM))
-    with np.errstate(divide="ignore"):
-        place = -np.log(((gram >> np.uint64(40)).astype(np.float32) + 1) / np.float32(1 << 24)) / width**4
-    best, at = place[:n].copy(), np.zeros(n, np.int64)
-    for j in range(1, WINDOW - GRAM + 1):
-        lower = place[j : j + n] < best
-        best[lower] = place[j : j + n][lower]
-        at[lower] = j
+    place = -np.log(((gram >> np.uint64(40)).astype(np.float32) + 1) / np.float32(1 << 24)) / width**4
+    # Floats from 0 upwards order as their bits do; below them stands the place, so the first of equals is least.
+    least = ((place + np.float32(0)).view(np.uint32).astype(np.uint64) << np.uint64(32)) | np.arange(len(gram), dtype=np.uint64)
+    covered, wanted = 1, WINDOW - GRAM + 1
+    while covered < wanted:
+        shift = min(covered, wanted - covered)
+        least = np.minimum(least[: len(least) - shift], least[shift:])
+        covered += shift
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     whole = np.flatnonzero(words.doc[:n] == words.doc[WINDOW - 1 : WINDOW - 1 + n])
-    return whole, words.doc[whole], gram[whole + at[whole]].view(np.int64)
+    return whole, words.doc[whole], gram[at[whole]].view(np.int64)
 
 
 def _anchor_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
