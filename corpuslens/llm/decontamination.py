@@ -83,8 +83,9 @@ def _best_windows(docs: DataFrame, items: DataFrame, size: int, similarity: floa
         rare = F.broadcast(rare)
     # A set, as equal rows are one document.
     worded = docs.select("id", "key", _words().alias("words"))
-    pairs = cut_lineage(_places(worded, size).join(rare, "_h").select("id", "key", "item").distinct(), "pairs")
-    held = pairs.groupBy("id", "key").agg(F.collect_set("item").alias("items"))
+    held = _places(worded, size).join(rare, "_h").groupBy("id", "key").agg(F.collect_set("item").alias("items"))
+    # Stored, so that Spark knows its size and shuffles texts only where it is too large to send.
+    held = cut_lineage(held, "held")
     known = docs.join(held, ["id", "key"]).dropDuplicates(["id", "key"]).select("id", "key", _words().alias("words"), "items")
     places = _places(known, size, "items").select("id", "key", "length", "_i", "_h", F.explode("items").alias("item"))
     met = places.join(wanted.drop("_rare"), ["item", "_h"]).groupBy("id", "key", "length", "item", "n").agg(
