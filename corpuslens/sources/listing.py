@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import folder_label, mentions_any, unix_path
+from corpuslens.sources import walk
 
 # --- fixed values: directory layouts, most specific first --------------------
 FAMILIES = ["original", "Deepfakes", "Face2Face", "FaceSwap", "NeuralTextures"]
@@ -26,11 +28,25 @@ MANIPULATION_TOKENS = ["deepfakes", "face2face", "faceswap", "neuraltextures", "
 # --- end of fixed values ------------------------------------------------------
 
 
-def list_files(spark: SparkSession, roots: str | Sequence[str], glob: str) -> DataFrame:
-    """(path, length) of matching files; file contents are not read."""
+def list_files(spark: SparkSession, roots: str | Sequence[str], glob: str, filesystem: FileSystem | None = None) -> DataFrame:
+    """(path, length) of files whose names match below ``roots``; contents are not read.
+
+    Mounted storage is walked by tasks.  So are object stores if ``filesystem``
+    names one of pyarrow's (roots are then its paths, without patterns); other
+    storage is listed by Spark's file index, which holds all names on the driver.
+    Hidden names (``.x``, ``_x``) are skipped, a missing root fails.
+    """
+    given = [roots] if isinstance(roots, str) else list(roots)
+    if filesystem is not None:
+        infos = filesystem.get_file_info(given)
+        if missing := [i.path for i in infos if i.type == FileType.NotFound]:
+            raise FileNotFoundError(missing[0])
+        return walk.walked(spark, [(i.path, i.type == FileType.Directory) for i in infos], glob, filesystem)
+    found = walk.existing_roots(spark, given)
+    if walk.on_mounted_storage([p for p, _ in found]):
+        return walk.walked(spark, [(walk.plain(p), folder) for p, folder in found], glob)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    rows = reader.load(list(roots) if not isinstance(roots, str) else roots)
-    return rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
+    return reader.load(given).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
 
 
 def list_media(spark: SparkSession, roots: str | Sequence[str], extensions: Sequence[str] = ("mp4", "avi")) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslens.sources import walk
+
 # --- fixed values: manifest columns and label words --------------------------
 PRIMARY_SCHEMA = (
     "key string, path string, category string, identity_group string, "
@@ -30,15 +33,28 @@ def read_manifest(spark: SparkSession, path: str | Sequence[str], schema: str =
     return spark.read.csv(path if isinstance(path, str) else list(path), header=True, schema=schema, nanValue="nan")
 
 
-def pick_by_header(spark: SparkSession, paths: Sequence[str], marks: Sequence[str]) -> str:
+def pick_by_header(spark: SparkSession, paths: Sequence[str], marks: Sequence[str], filesystem: FileSystem | None = None) -> str:
     """First manifest, in path order, whose header names every marked column.
 
-    Only header lines are read, one per candidate.
+    On mounted storage, or on a ``filesystem`` of pyarrow's, one job reads the
+    header lines of all candidates; on other storage it is a small job for each.
     """
-    for p in sorted(paths):
-        if set(marks) <= set(spark.read.csv(p, header=True).columns):
-            return p
-    raise FileNotFoundError(f"no manifest with columns {list(marks)}")
+    given = sorted(paths)
+    first = None
+    if filesystem is not None:
+        found = [(p, filesystem.get_file_info(p).type == FileType.Directory) for p in given]
+    else:
+        found = [walk.existing_roots(spark, [p])[0] for p in given]
+    if filesystem is None and not walk.on_mounted_storage([p for p, _ in found]):
+        first = next((p for p in given if set(marks) <= set(spark.read.csv(p, header=True).columns)), None)
+    elif found:
+        named = F.forall(F.lit(list(marks)), lambda m: F.array_contains("columns", m))
+        lines = walk.headers(spark, [(walk.plain(p), folder) for p, folder in found], filesystem)
+        place = lines.filter(named).agg(F.min("place")).first()[0]
+        first = None if place is None else given[place]
+    if first is None:
+        raise FileNotFoundError(f"no manifest with columns {list(marks)}")
+    return first
 
 
 def json_clip_labels(df: DataFrame, folder: str, text: str) -> DataFrame:
