@@ -604,7 +604,22 @@ def test_language_stage_drops_noise_and_unlearned_languages(spark, documents):
     ]
     clean = [d for d in documents if re.search(r"[^\W\d_]", d[1] or "")]
     short = [(-100 - i, " ".join(d[1].split()[:8]), None, "s") for i, d in enumerate(clean[:60])]
+    long = [d for d in clean if len(d[1]) > 400]
+    cuts = [(n, d[1][rng.randrange(len(d[1]) - n) :][:n]) for n in (10, 20, 40, 80, 120, 200) for d in long[:80]]
+    short += [(-1000 - i, t, None, "s") for i, (_, t) in enumerate(cuts) if re.search(r"[^\W\d_]", t)]
     rows = documents + short + [(-1 - i, t, None, "s") for i, t in enumerate(other)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     got = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()}
     assert got == {d[0] for d in clean} | {d[0] for d in short}
+
+
+def test_ties_go_to_the_first_language_by_name():
+    grams, counts = language_id.gram_counts("one two")
+    known = np.sort(grams)
+    ranks = np.stack([np.arange(len(known))] * 3, 1)
+    assert language_id.Profiles(["aa", "bb", "cc"], known, ranks).predict("one two")[0] == "aa"
+    ranks[:, 0] = language_id.PROFILE
+    assert language_id.Profiles(["aa", "bb", "cc"], known, ranks).predict("one two")[0] == "bb"
+    # A language that lacks every gram is as far as can be; one that only has them in another order is nearer.
+    ranks[:, 1:] = np.argsort(np.argsort(-counts, kind="stable"))[:, None][::-1]
+    assert language_id.Profiles(["aa", "bb", "cc"], known, ranks).predict("one two")[0] == "bb"
