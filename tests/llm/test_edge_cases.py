@@ -103,3 +103,10 @@ def test_deduplicated_keeps_one_of_each(make):
     docs = make(ROWS)
     out = near_dedup.deduplicated(docs).collect()
     assert sorted(str(r.doc_id) for r in out) == ["1", "3", "4", "5", "6", "7", "7", "8", "9", "None"]
+
+
+def test_pipeline_on_an_empty_table(spark, make, tmp_path):
+    make(ROWS).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    bench(make).write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == 0
